@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import language
+from vacantia.functions.html import displayed
+from vacantia.llm import language, neardup
 from vacantia.session import settle, table
 
 
@@ -34,5 +35,22 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select(F.col("id").alias("job_id"), "stored", "lang", "confidence", "langs", "sure")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages}
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Shingles of title, company_name and description of postings whose description has at least 40 words."""
+    jobs = table(spark, d, "jobs").select("id", F.concat_ws(" ", "title", "company_name").alias("head"), displayed(F.col("description")).alias("body"))
+    return neardup.shingled(jobs, width=3, min_words=40)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = neardup.link(_postings(spark, d), 0.6)
+    return neardup.all_pairs(members, links).select(F.col("x").alias("job_id_a"), F.col("y").alias("job_id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with its group of near-duplicates and its number of links."""
+    members, links = neardup.link(_postings(spark, d), 0.6)
+    return neardup.groups(members, settle(links, "links")).withColumnRenamed("id", "job_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
 ORACLES: dict[str, str] = {}
