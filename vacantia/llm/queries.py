@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions.html import displayed
-from vacantia.llm import language, neardup
+from vacantia.llm import canonical, language, neardup
 from vacantia.session import settle, table
 
 
@@ -52,5 +52,27 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(members, settle(links, "links")).withColumnRenamed("id", "job_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
-ORACLES: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "job_skills").filter("skill_id is null and raw_form is not null").select(F.col("id").alias("job_skill_id"), F.col("raw_form").alias("value"))
+    entries = table(spark, d, "skills").select(F.col("id").alias("entry_id"), "name")
+    found = canonical.match(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value"), entries)
+    return rows.join(found, "value").select("job_skill_id", F.col("entry_id").alias("skill_id"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that mean no entry, by anti-join, with how often they occur."""
+    rows = table(spark, d, "job_skills").filter("skill_id is null and raw_form is not null").groupBy(F.col("raw_form").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = canonical.match(rows.select("value"), table(spark, d, "skills").select(F.col("id").alias("entry_id"), "name"))
+    blank = r"^[\s\u00a0\u3000\u200b\ufeff]*$"
+    return rows.filter(~F.col("value").rlike(blank)).join(found.filter("entry_id <> -1"), "value", "left_anti").select("value", "n")
+
+
+_P4 = canonical.match_oracle("SELECT DISTINCT raw_form AS value FROM job_skills WHERE skill_id IS NULL AND raw_form IS NOT NULL", "SELECT id AS entry_id, name FROM skills")
+_P4_ORACLES = {
+    "p4_found": f"SELECT j.id AS job_skill_id, f.entry_id AS skill_id FROM job_skills j JOIN ({_P4}) f ON j.raw_form = f.value WHERE j.skill_id IS NULL",
+    "p4_unmatched": f"SELECT f.value, count(*) AS n FROM job_skills j JOIN ({_P4}) f ON j.raw_form = f.value WHERE j.skill_id IS NULL AND f.entry_id = -1 GROUP BY f.value",
+}
+
+
+QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
+ORACLES: dict[str, str] = {**_P4_ORACLES}
