@@ -32,57 +32,94 @@ def _fold_table() -> tuple[str, str]:
         base = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))
         if len(base) == 1 and base != chr(c):
             pairs[chr(c)] = base
-    pairs["　"] = pairs[" "] = pairs[" "] = " "
+    pairs |= dict.fromkeys("\u3000\u00a0\u202f\u2009", " ")
+    # quotes and backslashes are written differently in SQL dialects; as punctuation they fall away later
+    pairs = {k: v for k, v in pairs.items() if v not in "'\\"}
     return "".join(pairs), "".join(pairs.values())
 
 
 def fold_sql(column: str) -> str:
-    """SQL that folds a typed text to the form that is compared. Works in Spark and, unchanged, in DuckDB."""
+    """SQL that folds a typed text to words: lower case, plain letters, one blank between words, wording around it removed."""
     source, target = _fold_table()
-    text = f"lower(translate({column}, '{source.replace(chr(39), chr(39) * 2)}', '{target.replace(chr(39), chr(39) * 2)}'))"
+    text = f"lower(translate({column}, '{source}', '{target}'))"
     text = _replace(text, r"[\x{0300}-\x{036f}\x{200b}-\x{200d}\x{feff}]", "")
-    text = _replace(text, r'^[^\p{L}\p{N}]+|[^\p{L}\p{N}#+)]+$', "")
+    text = _replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}#+)]+$", "")
     for _ in range(2):
         text = _replace(text, rf"^(?:{BEFORE})\s+", "")
         text = _replace(text, rf"[\s]+(?:{BEHIND})$", "")
-        text = _replace(text, r'^[^\p{L}\p{N}]+|[^\p{L}\p{N}#+)]+$', "")
-    return _replace(text, r"[^\p{L}\p{N}#+]", "")
+        text = _replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}#+)]+$", "")
+    return _replace(text, r"[^\p{L}\p{N}#+]+", " ")
 
 
 def _replace(text: str, pattern: str, by: str) -> str:
     return f"regexp_replace({text}, '{pattern}', '{by}' /*all*/)"
 
 
+def _squash(words: str) -> str:
+    return f"replace({words}, ' ', '')"
+
+
+def _stems(words: str) -> str:
+    """The first four letters of each word but prepositions, sorted: equal for the same words in other orders and inflections."""
+    kept = _replace(words, r"\b(?:of|in|for|the|de|von) ", "")
+    return f"/*join*/(/*sort*/(/*split*/(trim({_replace(kept, r'(\p{L}{4})\p{L}+', '/*one*/')}), ' ')), ' ')"
+
+
 def spark_sql(sql: str) -> str:
-    return sql.replace(" /*all*/", "").replace("\\", "\\\\")
+    for mark, name in ((" /*all*/", ""), ("/*one*/", "$1"), ("/*two*/", "$2 $1"), ("/*join*/", "array_join"), ("/*sort*/", "array_sort"), ("/*split*/", "split")):
+        sql = sql.replace(mark, name)
+    return sql.replace("\\", "\\\\")
 
 
 def duckdb_sql(sql: str) -> str:
-    return sql.replace(" /*all*/", ", 'g'")
+    for mark, name in ((" /*all*/", ", 'g'"), ("/*one*/", "\\1"), ("/*two*/", "\\2 \\1"), ("/*join*/", "array_to_string"), ("/*sort*/", "list_sort"), ("/*split*/", "string_split")):
+        sql = sql.replace(mark, name)
+    return sql
+
+
+def _sides(typed: str, reference: str) -> str:
+    """Common table expressions of both sides: typed (value, words, folded), names (entry_id, words) and entries (entry_id, r, n).
+
+    An entry of two words also stands with the two exchanged.
+    """
+    real = _replace("value", r"[\s\x{00a0}\x{3000}\x{200b}\x{feff}]", "")
+    return f"""
+    typed AS (SELECT value, words, {_squash("words")} AS folded FROM (SELECT value, {fold_sql("value")} AS words FROM {typed} WHERE {real} <> '') w),
+    names AS (SELECT entry_id, {fold_sql("name")} AS words FROM {reference}),
+    entries AS (SELECT DISTINCT entry_id, r, length(r) AS n FROM (
+      SELECT entry_id, {_squash("words")} AS r FROM names UNION ALL
+      SELECT entry_id, {_squash(_replace("words", r"^(\S+) (\S+)$", "/*two*/"))} AS r FROM names) v WHERE r <> ''),
+    stems AS (SELECT {_stems("words")} AS stem, min(entry_id) AS entry_id FROM names WHERE words LIKE '% %' GROUP BY 1)"""
+
+
+_CLOSER = "((instr(t, '#') > 0) <> (instr(r, '#') > 0))"
+
+
+def _final(best: str) -> str:
+    return f"""
+    SELECT value, coalesce(b.entry_id, s.entry_id, -1) AS entry_id
+    FROM typed LEFT JOIN {best} b ON folded = b.t LEFT JOIN stems s ON b.t IS NULL AND words LIKE '% %' AND {_stems("words")} = s.stem"""
 
 
 def match(typed: DataFrame, reference: DataFrame, edits: int = EDITS) -> DataFrame:
-    """typed (value), distinct, against reference (entry_id, name): one row per non-blank value with entry_id or -1, and the distance."""
+    """typed (value), distinct, against reference (entry_id, name): one row per non-blank value with entry_id or -1."""
     spark = typed.sparkSession
     typed.createOrReplaceTempView("canonical_typed")
     reference.createOrReplaceTempView("canonical_reference")
     # at most a third of the entry may differ, so that short entries don't take in everything
     sql = f"""
-    WITH typed AS (
-      SELECT value, {fold_sql("value")} AS folded FROM canonical_typed WHERE {_replace("value", r"[\s\x{00a0}\x{3000}\x{200b}\x{feff}]", "")} <> ''),
+    WITH {_sides("canonical_typed", "canonical_reference")},
     texts AS (SELECT DISTINCT folded AS t, length(folded) AS m FROM typed WHERE folded <> ''),
-    entries AS (SELECT entry_id, folded AS r, length(folded) AS n FROM (SELECT entry_id, {fold_sql("name")} AS folded FROM canonical_reference) WHERE folded <> ''),
     parts AS (SELECT entry_id, r, n, seg, CAST(floor(seg * n / {edits + 1}) AS INT) AS at, CAST(floor((seg + 1) * n / {edits + 1}) AS INT) - CAST(floor(seg * n / {edits + 1}) AS INT) AS len
       FROM entries LATERAL VIEW explode(sequence(0, {edits})) s AS seg),
     sizes AS (SELECT DISTINCT n, seg, at, len FROM parts WHERE len > 0),
-    keys AS (SELECT DISTINCT t, m, n, seg, substring(t, at + shift + 1, len) AS piece
+    keys AS (SELECT DISTINCT t, n, seg, substring(t, at + shift + 1, len) AS piece
       FROM texts JOIN sizes ON abs(m - n) <= {edits} LATERAL VIEW explode(sequence(-{edits}, {edits})) s AS shift
       WHERE at + shift >= 0 AND at + shift + len <= m),
-    candidates AS (SELECT DISTINCT k.t, k.m, p.entry_id, p.r FROM keys k JOIN parts p ON k.n = p.n AND k.seg = p.seg AND k.piece = substring(p.r, p.at + 1, p.len)),
-    verified AS (SELECT t, m, entry_id, r, levenshtein(t, r) AS d FROM candidates),
-    best AS (SELECT t, min(struct(d, ((instr(t, '#') > 0) <> (instr(r, '#') > 0)) AS marks, length(r) AS n, entry_id)) AS b FROM verified WHERE d <= least({edits}, length(r) / 3) GROUP BY t)
-    SELECT value, coalesce(b.entry_id, -1) AS entry_id, b.d AS distance FROM typed LEFT JOIN best ON folded = t
-    """
+    candidates AS (SELECT DISTINCT k.t, p.entry_id, p.r FROM keys k JOIN parts p ON k.n = p.n AND k.seg = p.seg AND k.piece = substring(p.r, p.at + 1, p.len)),
+    verified AS (SELECT t, entry_id, r, levenshtein(t, r) AS d FROM candidates),
+    best AS (SELECT t, min(struct(d, {_CLOSER} AS marks, length(r) AS n, entry_id)).entry_id AS entry_id FROM verified WHERE d <= least({edits}, length(r) / 3) GROUP BY t)
+    {_final("best")}"""
     return spark.sql(spark_sql(sql))
 
 
@@ -90,10 +127,9 @@ def match_oracle(typed_sql: str, reference_sql: str, edits: int = EDITS) -> str:
     """The same by brute force over all pairs of distinct folded texts, for DuckDB."""
     return duckdb_sql(
         f"""
-    WITH typed AS (SELECT value, {fold_sql("value")} AS folded FROM ({typed_sql}) WHERE {_replace("value", r"[\s\x{00a0}\x{3000}\x{200b}\x{feff}]", "")} <> ''),
+    WITH {_sides(f"({typed_sql}) q", f"({reference_sql}) q")},
     texts AS (SELECT DISTINCT folded AS t FROM typed WHERE folded <> ''),
-    entries AS (SELECT entry_id, folded AS r FROM (SELECT entry_id, {fold_sql("name")} AS folded FROM ({reference_sql})) WHERE folded <> ''),
-    near AS (SELECT t, entry_id, levenshtein(t, r) AS d, row_number() OVER (PARTITION BY t ORDER BY levenshtein(t, r), ((instr(t, '#') > 0) <> (instr(r, '#') > 0)), length(r), entry_id) AS k
+    near AS (SELECT t, entry_id, row_number() OVER (PARTITION BY t ORDER BY levenshtein(t, r), {_CLOSER}, length(r), entry_id) AS k
       FROM texts, entries WHERE levenshtein(t, r) <= least({edits}, length(r) / 3))
-    SELECT value, coalesce(entry_id, -1) AS entry_id FROM typed LEFT JOIN near ON folded = t AND k = 1"""
+    {_final("(SELECT t, entry_id FROM near WHERE k = 1)")}"""
     )
