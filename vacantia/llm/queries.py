@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions.html import displayed
-from vacantia.llm import canonical, language, neardup
+from vacantia.llm import canonical, language, lookalike, neardup, survivor
 from vacantia.session import settle, table
 
 
@@ -74,5 +74,40 @@ _P4_ORACLES = {
 }
 
 
-QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
-ORACLES: dict[str, str] = {**_P4_ORACLES}
+def _survivors(spark: SparkSession, d: str, prior: str) -> DataFrame:
+    used = ["id", "source_id", "duplicate_of_job_id", "last_seen_at", *survivor.FIELDS]
+    return survivor.survivors(table(spark, d, "jobs").select(*used), table(spark, d, "sources"), prior)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d, "stated").select("group_id", F.col("field").alias("field_name"), F.col("id").alias("job_id"))
+
+
+def p6_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The member the fused votes alone would choose, with its posterior."""
+    return _survivors(spark, d, "votes").select("group_id", F.col("field").alias("field_name"), F.col("id").alias("job_id"), "posterior")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d).filter("text is not null")
+    named = settle(lookalike.normalise(docs, lookalike.learn(docs), full=False), "looks")
+    # only looks that come in more than one spelling; min and max differ exactly then
+    several = named.groupBy("c1", "c2").agg(F.min(F.struct("r1", "r2")).alias("lo"), F.max(F.struct("r1", "r2")).alias("hi")).filter("lo <> hi").select("c1", "c2")
+    rows = named.join(several, ["c1", "c2"])
+    other = rows.select("c1", "c2", F.col("id").alias("doc_id_b"), F.col("r1").alias("q1"), F.col("r2").alias("q2"))
+    pairs = rows.join(other, ["c1", "c2"]).filter("id < doc_id_b and (r1 <> q1 or r2 <> q2)")
+    return pairs.select(F.col("id").alias("doc_id_a"), "doc_id_b")
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text in its consistent form."""
+    docs = _documents(spark, d)
+    return lookalike.normalise(docs, lookalike.learn(docs)).select(F.col("id").alias("doc_id"), "canonical")
+
+
+QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
+ORACLES: dict[str, str] = {**_P4_ORACLES, "p6_found": survivor.survivors_oracle()}
