@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions.html import displayed
-from vacantia.llm import canonical, language, lookalike, neardup, survivor
+from vacantia.llm import canonical, language, lookalike, neardup, packing, survivor, tokens
 from vacantia.session import settle, table
 
 
@@ -92,6 +92,30 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and characters by source and kind."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "kind", "n_chars")
+    counts = tokens.encoded(_documents(spark, d), count_only=True)
+    return counts.join(docs, "id").groupBy("source", "kind").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or of each piece of one above 2,048 tokens."""
+    sizes = settle(tokens.encoded(_documents(spark, d), count_only=True), "sizes")
+    out = packing.packed(sizes.withColumnRenamed("n_tokens", "size"))
+    return out.select(F.col("id").alias("doc_id"), F.col("part").alias("piece_no"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: one row."""
+    per = p9_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * 2048)).alias("fill"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d).filter("text is not null")
     named = settle(lookalike.normalise(docs, lookalike.learn(docs), full=False), "looks")
@@ -109,5 +133,5 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalise(docs, lookalike.learn(docs)).select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
+QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
 ORACLES: dict[str, str] = {**_P4_ORACLES, "p6_found": survivor.survivors_oracle()}
