@@ -1,0 +1,107 @@
+"""Normalisation of names, titles, URLs and words to enums, as columns. One Arrow UDF, for compatibility decomposition."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Legal forms dropped from the end of a company name, up to three times.
+COMPANY_FORMS = "inc|llc|ltd|limited|corp|corporation|co|company|gmbh|plc|ag|bv|srl|s a de c v|sa de cv|s de rl de cv|s a|sa|s l|sl|s r l|pty|oy|ab|as|nv|kk|llp|lp"
+#: Words that don't belong to a title, and markers of gender.
+TITLE_NOISE = "remote|hybrid|on-?site|full[- ]time|part[- ]time|contract|urgent|hiring|now hiring"
+GENDER = r"(?i)(?<![A-Za-z0-9_])[mfwdh](?:\s*/\s*[mfwdhx*]){1,3}(?![A-Za-z0-9_])"
+#: Query parameters that only track.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gh_src", "lever-source", "ref", "source", "src", "fbclid", "gclid", "trk", "trackingid", "refid")
+#: What words of a title mean, in order of precedence.
+SENIORITY = (
+    ("executive", "cto|vp|vice president|chief"), ("director", "director"), ("manager", "engineering manager|manager|head of"), ("principal", "principal"), ("staff", "staff"),
+    ("lead", "lead|tech lead|team lead"), ("senior", r"senior|sr\.?|snr"), ("junior", r"junior|jr\.?|entry level|graduate|trainee"), ("intern", "intern|internship|practicante"),
+    ("mid", "mid|mid-level|intermediate"),
+)
+EMPLOYMENT = (("internship", "internship|intern"), ("freelance", "freelance"), ("contract", "contract|contractor|b2b"), ("part_time", "part[- ]time"), ("full_time", "full[- ]time|permanent"))
+
+
+def word(pattern: str) -> str:
+    """A pattern between ASCII word bounds."""
+    return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
+
+
+def collapse(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s   　﻿]+", " "))
+
+
+@F.pandas_udf(StringType())
+def fold(texts: pd.Series) -> pd.Series:
+    def one(t):
+        if t is None or t.isascii():
+            return t
+        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ")
+        return unicodedata.normalize("NFC", bare)
+
+    return texts.map(one, na_action="ignore")
+
+
+def normalize(text: Column) -> Column:
+    """Lower case, accents stripped, only letters, digits, marks, + # and . kept; empty for null."""
+    return F.coalesce(collapse(F.regexp_replace(F.lower(fold(text)), r"[^\p{L}\p{N}\p{M}+#.\s]", " ")), F.lit(""))
+
+
+def company(name: Column) -> Column:
+    bare = collapse(F.regexp_replace(normalize(name), "[.,]", " "))
+    for _ in range(3):
+        bare = F.regexp_replace(bare, rf"\s+(?:{COMPANY_FORMS})$", "")
+    return F.when(bare != "", bare)
+
+
+def title(text: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(text, r"\(.*?\)|\[.*?\]", " "), GENDER, " ")
+    return collapse(F.regexp_replace(normalize(bare), word(TITLE_NOISE), " "))
+
+
+def slug(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(fold(name)), r"\.js(?![a-z0-9])", "js"), "[^a-z0-9+#]+", "-"), "^-+|-+$", "")
+
+
+def canonical_url(url: Column) -> Column:
+    """No fragment, www. or tracking parameter; parameters sorted; no slash at the end. What isn't a URL is only trimmed."""
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), r"^www\.", "")
+    scheme, path = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_replace(F.regexp_extract(bare, r"^[^:]*://[^/?]*([^?]*)", 1), "/$", "")
+    query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
+    kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING)))
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))).otherwise(F.trim(url))
+
+
+def _ladder(text: Column, steps: tuple[tuple[str, str], ...], default: Column) -> Column:
+    out = default
+    for name, pattern in reversed(steps):
+        out = F.when(text.rlike(word(pattern)), name).otherwise(out)
+    return out
+
+
+def seniority(normal_title: Column, normal_description: Column) -> Column:
+    years = F.regexp_extract(F.substring(normal_description, 1, 3000), r"(\d{1,4})\+?\s*(?:years|yrs|anos)", 1).try_cast("int")
+    return _ladder(normal_title, SENIORITY, F.when(years >= 8, "senior").when(years >= 4, "mid").when(years >= 1, "junior").otherwise("unknown"))
+
+
+def employment(normal: Column) -> Column:
+    return _ladder(normal, EMPLOYMENT, F.lit("unknown"))
+
+
+def work_mode(normal: Column) -> Column:
+    """Hybrid before remote before on site; remote with office words is hybrid unless it is remote all through."""
+    office = normal.rlike(word("on[- ]?site|in[- ]?office"))
+    wholly = normal.rlike(word("remote first|fully remote"))
+    remote = normal.rlike(word("remote|remoto|work from home|wfh|distributed"))
+    return (
+        F.when(normal.rlike(word("hybrid|hibrido")), "hybrid").when(remote & office & ~wholly, "hybrid").when(remote, "remote").when(office | normal.rlike(word("presencial")), "onsite").otherwise("unknown")
+    )
+
+
+def dedup_key(normal_company: Column, normal_title: Column, url: Column) -> Column:
+    named = normal_company.isNotNull() & (normal_title != "")
+    return F.sha2(F.when(named, F.concat_ws("|", normal_company, normal_title)).otherwise(F.concat(F.lit("url|"), F.coalesce(url, F.lit("")))), 256)

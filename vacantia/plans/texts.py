@@ -1,3 +1,134 @@
-"""To come."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of text normalisation, inference, extraction and identity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vacantia.functions import text as T
+from vacantia.operators import extract, resolve
+from vacantia.session import table
+
+
+def _jobs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "jobs").select("id", *columns)
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _jobs(spark, d, "description").select("id", extract.plain(F.col("description")).alias("text"))
+
+
+def text_normalize(spark, d):
+    return _jobs(spark, d, "title").select("id", T.normalize(F.col("title")).alias("normal"))
+
+
+def company_normalize(spark, d):
+    return _jobs(spark, d, "company_name").select("id", T.company(F.col("company_name")).alias("normal"))
+
+
+def title_normalize(spark, d):
+    return _jobs(spark, d, "title").select("id", T.title(F.col("title")).alias("normal"))
+
+
+def slug(spark, d):
+    return table(spark, d, "skills").select("id", T.slug(F.col("name")).alias("slug"))
+
+
+def url_canonical(spark, d):
+    return _jobs(spark, d, "url").select("id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+def html_to_text(spark, d):
+    return _texts(spark, d)
+
+
+def infer_enums(spark, d):
+    rows = _jobs(spark, d, "title", "location", "description").select("id", "location", T.normalize(F.col("title")).alias("t"), T.normalize(F.concat_ws(" ", "location", "title")).alias("place"), T.normalize(F.col("description")).alias("body"))
+    return rows.select("id", T.seniority(F.col("t"), F.col("body")).alias("seniority"), T.work_mode(F.col("place")).alias("work_mode"), T.employment(F.col("t")).alias("employment_type"))
+
+
+def _keys(spark, d):
+    rows = table(spark, d, "jobs").select("id", "source_id", "status", F.unix_micros("discovered_at").alias("at"), T.canonical_url(F.col("url")).alias("url"), T.company(F.col("company_name")).alias("c"), T.title(F.col("title")).alias("t"))
+    return rows.withColumn("key", T.dedup_key(F.col("c"), F.col("t"), F.col("url")))
+
+
+def dedup_groups(spark, d):
+    return _keys(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+
+
+def duplicate_links(spark, d):
+    rows = _keys(spark, d).select("id", "at", "source_id", "url", "key", (F.coalesce("status", F.lit("")) == "active").alias("active"))
+    return resolve.duplicate_links(rows)
+
+
+def section_counts(spark, d):
+    return extract.sections(_texts(spark, d)).groupBy("section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+def skill_extract(spark, d):
+    return extract.skills_in(_texts(spark, d), table(spark, d, "skills"))
+
+
+def years_team(spark, d):
+    text = F.col("text")
+    lead = r"(?i)(?<![A-Za-z0-9_])(?:tech(?:nical)? lead|team lead|lead engineer|engineering manager|mentor|mentoring|manage a team|lead a team|direct reports|people management)(?![A-Za-z0-9_])"
+    return _texts(spark, d).select("id", extract.years_required(text).alias("years"), extract.team_size(text).alias("team"), F.coalesce(text.rlike(lead), F.lit(False)).alias("leads"))
+
+
+def languages_required(spark, d):
+    return extract.languages_in(_texts(spark, d))
+
+
+def salary_parse(spark, d):
+    rows = table(spark, d, "compensation_observations").select("id", F.col("evidence").alias("text"))
+    return extract.pay_in(rows.filter("text is not null"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
+}
+
+
+def _norm(x: str) -> str:
+    spaced = rf"regexp_replace(lower(strip_accents({x})), '[^\pL\pN\pM+#.\s]', ' ', 'g')"
+    return rf"coalesce(trim(regexp_replace({spaced}, '[\s\x{{00a0}}]+', ' ', 'g')), '')"
+
+
+def _word(p: str) -> str:
+    return rf"\b(?:{p})\b"
+
+
+def _title(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({x}, '\(.*?\)|\[.*?\]', ' ', 'g'), '(?i)\b[mfwdh](?:\s*/\s*[mfwdhx*]){{1,3}}\b', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({_norm(bare)}, '{_word(T.TITLE_NOISE)}', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _company(x: str) -> str:
+    out = rf"trim(regexp_replace(regexp_replace({_norm(x)}, '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
+    for _ in range(3):
+        out = rf"regexp_replace({out}, '\s+(?:{T.COMPANY_FORMS})$', '')"
+    return f"nullif({out}, '')"
+
+
+_QUERY = "list_sort(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({})))".format(", ".join(f"'{x}'" for x in T.TRACKING))
+_URL = rf"""SELECT id, regexp_extract(b, '^([A-Za-z]+)://', 1) || '://' || regexp_replace(lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.', '')
+  || regexp_replace(regexp_extract(b, '^[^:]*://[^/?]*([^?]*)', 1), '/$', '') || CASE WHEN len({_QUERY}) > 0 THEN '?' || array_to_string({_QUERY}, '&') ELSE '' END AS canonical
+  FROM (SELECT id, regexp_replace(trim(url), '#.*$', '') AS b FROM jobs)"""
+_CASES = lambda x, steps: " ".join(rf"WHEN regexp_matches({x}, '{_word(p)}') THEN '{n}'" for n, p in steps)
+_YEARS = r"try_cast(regexp_extract(body, '(\d{1,4})\+?\s*(?:years|yrs|anos)', 1) AS INT)"
+ORACLES = {
+    "text_normalize": f"SELECT id, {_norm('title')} AS normal FROM jobs",
+    "company_normalize": f"SELECT id, {_company('company_name')} AS normal FROM jobs",
+    "title_normalize": f"SELECT id, {_title('title')} AS normal FROM jobs",
+    "slug": "SELECT id, slug FROM skills",
+    "url_canonical": _URL,
+    "infer_enums": rf"""SELECT id, CASE {_CASES("t", T.SENIORITY)} WHEN {_YEARS} >= 8 THEN 'senior' WHEN {_YEARS} >= 4 THEN 'mid' WHEN {_YEARS} >= 1 THEN 'junior' ELSE 'unknown' END AS seniority,
+      CASE WHEN regexp_matches(place, '\b(?:hybrid|hibrido)\b') THEN 'hybrid' WHEN regexp_matches(place, '\b(?:remote|remoto|work from home|wfh|distributed)\b') THEN
+        CASE WHEN regexp_matches(place, '\b(?:on[- ]?site|in[- ]?office)\b') AND NOT regexp_matches(place, '\b(?:remote first|fully remote)\b') THEN 'hybrid' ELSE 'remote' END
+        WHEN regexp_matches(place, '\b(?:on[- ]?site|in[- ]?office|presencial)\b') THEN 'onsite' ELSE 'unknown' END AS work_mode,
+      CASE {_CASES("t", T.EMPLOYMENT)} ELSE 'unknown' END AS employment_type
+      FROM (SELECT id, {_norm("title")} AS t, {_norm("concat_ws(' ', location, title)")} AS place, substr({_norm("description")}, 1, 3000) AS body FROM jobs)""",
+    "dedup_groups": f"""WITH k AS (SELECT j.id, CASE WHEN {_company("company_name")} IS NOT NULL AND {_title("title")} <> '' THEN sha256({_company("company_name")} || '|' || {_title("title")}) ELSE sha256('url|' || coalesce(u.canonical, '')) END AS key
+      FROM jobs j JOIN ({_URL}) u ON u.id = j.id) SELECT key, count(*) AS n, min(id) AS first_id FROM k GROUP BY key HAVING count(*) > 1""",
+}
