@@ -195,6 +195,7 @@ def normalise(values: DataFrame, threshold: float = 0.9) -> DataFrame:
     status: instant, ambiguous, or none. Nulls in any column give none, except a null
     locale, under which both day orders count as valid parses.
     """
+    values = values.select("feed", "record_id", "source_key", "value", "zone", "locale", "fetched_at")
     parsed = parse_candidates(values).select("feed", "record_id", F.coalesce("source_key", F.lit("")).alias("source_key"), "c")
     # read twice, by the counts and by the choice: parsed once, and no filter is pushed into the parsing
     parsed = settle(parsed.withColumn("formats", F.array_join(F.transform("c", lambda x: x["format"]), "|")), "timestamps")
@@ -204,7 +205,7 @@ def normalise(values: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     # one row per source and set of formats: bounded by the sources table, not by the values
     out = parsed.join(F.broadcast(chosen), ["feed", "source_key", "formats"], "left")
-    picked = F.filter("c", lambda x: x["format"] == F.col("best"))[0]["utc_us"]
+    picked = F.get(F.filter("c", lambda x: x["format"] == F.col("best")), F.lit(0))["utc_us"]
     same = F.size(F.array_distinct(F.transform("c", lambda x: x["utc_us"]))) <= 1
     sure = (F.col("posterior") >= threshold) | same
     return out.select(

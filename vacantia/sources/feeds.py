@@ -84,7 +84,7 @@ def rss(payloads: DataFrame, key: str) -> DataFrame:
 
 def hiring_comments(comments: DataFrame) -> DataFrame:
     """(id, text) of comments whose first line is "Company | Title | Place | ..." to raw postings."""
-    parts = F.transform(F.split(F.substring_index("text", "\n", 1), r"\|"), F.trim)
+    parts = F.transform(F.split(F.substring_index("text", "\n", 1), r"\|"), lambda x: F.trim(x))
     rows = comments.select("id", "text", parts.alias("x")).filter(F.size("x") >= 2)
     remote = F.exists("x", lambda p: F.lower(p).contains("remote"))
     values = {"external_id": F.col("id").cast("string"), "company_name": F.col("x")[0], "title": F.col("x")[1], "location": F.get("x", F.lit(2)), "description": F.col("text"), "remote_scope": F.when(remote, "remote")}
