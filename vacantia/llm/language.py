@@ -61,7 +61,7 @@ def paragraphs(text: Column) -> Column:
     shown = displayed(F.regexp_replace(text, r"\r\n?", "\n"))
     parts = F.transform(F.split(shown, r"\n[\s ]*\n"), lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))
     parts = F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.when((F.size(parts) == 1) & F.lower(parts[0]).isin(*NOTHING), F.array().cast("array<string>")).otherwise(parts)
+    return F.when((F.size(parts) == 1) & F.lower(F.get(parts, F.lit(0))).isin(*NOTHING), F.array().cast("array<string>")).otherwise(parts)
 
 
 def grams(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
