@@ -62,6 +62,20 @@ def test_neardup_equals_brute_force(spark):
     assert neardup.all_pairs(*neardup.link(none, 0.6)).count() == 0
 
 
+def test_neardup_loses_no_pair_below_shared_boilerplate(spark):
+    rng = random.Random(7)
+    fresh = (f"v{i}" for i in range(1_000_000))
+    boilerplate, rows = [next(fresh) for _ in range(60)], []
+    for k in range(200):
+        own = [next(fresh) for _ in range(24 + k % 4)]
+        for _ in range(2):
+            rows.append((len(rows), "", " ".join([*boilerplate, *own, *[next(fresh) for _ in range(20 + rng.randrange(8))]])))
+    members, links = neardup.link(neardup.shingled(spark.createDataFrame(rows, "id long, head string, body string")), 0.6)
+    got = {(r["x"], r["y"]) for r in neardup.all_pairs(members, links).collect()}
+    want = brute_pairs(rows, 3, 0.6)
+    assert got == want and 100 < len(want) <= 200, (len(got), len(want))
+
+
 def test_neardup_hot_group_of_copies(spark):
     df = spark.range(3000).select("id", F.lit("").alias("head"), F.lit("the same few words again and again for all").alias("body"))
     members, links = neardup.link(neardup.shingled(df), 0.8)

@@ -1,14 +1,18 @@
-"""Near-duplicate texts: one-permutation hashing with optimal densification, banded buckets, star-shaped edges.
+"""Near-duplicate texts: one-permutation hashing with star-shaped edges, and an exact join for what the stars leave out.
 
 Texts with the same set of word sequences collapse to one representative first, so copies cost
 nothing further. Each representative's shingles fall once into BINS bins; empty bins borrow
 from bins chosen by a hash of (bin, attempt), the same for all texts. Bands of ROWS bins make
 bucket keys, and each bucket links its members to its smallest member only: edges are bounded by
 texts times bands. Edges are verified on the exact shingle sets, and all pairs inside a
-component of verified edges are verified again, so that the star loses no link.
+component of verified edges are verified again.
 
-At similarity 0.6 a pair meets in no bucket with a chance of (1 - 0.6^ROWS)^BANDS = 7 %, at 0.65
-of 0.6 %, at 0.7 of 0.01 %; most are then still found through their component.
+The stars alone lose pairs: those that meet in no bucket, (1 - similarity^ROWS)^BANDS of them (7 %
+at 0.6, 0.6 % at 0.65), and those whose common buckets all have a centre that is like neither, as
+with shared boilerplate. Two sets of a similarity of at least the threshold share one of the
+first elements of any common order, so an equality join on these (prefix_pairs) brings all of
+them; its result is verified likewise, and nothing is lost. The order is by frequency, so that
+boilerplate comes last and stays out of the join unless it makes up most of a text.
 
 Defined results: texts with fewer than `width` words have no shingles and no links; null and
 empty texts likewise; a text is never linked with itself.
@@ -17,12 +21,13 @@ empty texts likewise; a text is never linked with itself.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.graph import components
@@ -30,6 +35,8 @@ from vacantia.session import settle
 
 ROWS, BANDS = 8, 160
 BINS = ROWS * BANDS
+#: Bits of a set's parity mask, and how many of the most frequent shingles are put in order of frequency.
+MASK_BITS, FREQUENT = 512, 1 << 17
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,6 +138,67 @@ def star_edges(reps: DataFrame) -> DataFrame:
     return centred.distinct()
 
 
+def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, shingles) to (rep, size, m0..m7, tokens): rarest shingles first, as many as a partner must share one of.
+
+    Any order that is the same for all sets is right; that the less frequent are told apart by
+    their hash only makes the join larger. m0..m7 hold for each of MASK_BITS bits whether an odd
+    number of shingles falls on it.
+    """
+    counts = reps.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n")).limit(FREQUENT).collect()
+    known = np.array(sorted((r["token"], r["n"]) for r in top), dtype=np.int64).reshape(-1, 2)
+    shared = reps.sparkSession.sparkContext.broadcast((known[:, 0].copy(), known[:, 1].copy()))  # at most 2 MB
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token, n = shared.value
+        for pdf in batches:
+            sizes, masks, kept = [], [], []
+            for x in pdf["shingles"]:
+                x = np.asarray(x, dtype=np.int64)
+                often = np.zeros(len(x), dtype=np.int64)
+                if len(token):
+                    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+                    often = np.where(token[at] == x, n[at], 0)
+                bits = np.bincount((_mix(x.view(np.uint64)) % np.uint64(MASK_BITS)).astype(np.int64), minlength=MASK_BITS) & 1
+                sizes.append(len(x))
+                masks.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                kept.append(x[np.lexsort((x, often))][: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1])
+            mask = np.array(masks, dtype=np.int64).reshape(-1, MASK_BITS // 64)
+            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "size": pd.Series(sizes, dtype="int32"), **{f"m{k}": mask[:, k] for k in range(MASK_BITS // 64)}, "tokens": kept})
+
+    words = ", ".join(f"m{k} long" for k in range(MASK_BITS // 64))
+    return reps.filter(F.size("shingles") > 0).mapInPandas(read, f"rep long, size int, {words}, tokens array<bigint>")
+
+
+def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, shingles) to distinct (a, b), a < b: every pair that reaches the threshold, and some that don't.
+
+    A pair of sizes x and y reaches it with `need` = t / (1 + t) (x + y) common shingles. The first
+    common one in the order has at least `need` shingles from it to the end of either set; for the
+    smaller set that is a shorter prefix. Masks that differ in h bits have at least h shingles
+    that only one set holds.
+    """
+    heads = settle(_prefixes(reps, threshold), "prefixes")
+    masks = [f"m{k}" for k in range(MASK_BITS // 64)]
+
+    def side(x: str, tokens: Column) -> DataFrame:
+        rows = heads.select("rep", "size", *masks, F.posexplode(tokens).alias("pos", "token"))
+        return rows.select("token", F.col("rep").alias(f"rep{x}"), F.col("size").alias(f"size{x}"), (F.col("size") - F.col("pos")).alias(f"rest{x}"), *[F.col(m).alias(f"{m}{x}") for m in masks])
+
+    share = threshold / (1 + threshold)
+    shorter = F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9).cast("int") + 1
+    need = share * (F.col("sizes") + F.col("sizel")) - 1e-9
+    apart = sum((F.bit_count(F.col(f"{m}s").bitwiseXOR(F.col(f"{m}l"))) for m in masks), F.lit(0))
+    both = side("s", F.slice("tokens", F.lit(1), shorter)).join(side("l", F.col("tokens")), "token")
+    kept = both.filter(
+        ((F.col("sizes") < F.col("sizel")) | ((F.col("sizes") == F.col("sizel")) & (F.col("reps") < F.col("repl"))))
+        & (F.col("rests") >= need) & (F.col("restl") >= need) & (F.col("sizes") >= threshold * F.col("sizel") - 1e-9)
+        & (F.col("sizes") + F.col("sizel") - apart >= 2 * need)
+    )
+    return kept.select(F.least("reps", "repl").alias("a"), F.greatest("reps", "repl").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b) pairs whose exact similarity reaches the threshold, with the similarity."""
     left, right = (reps.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -147,9 +215,10 @@ def link(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     reps = settle(docs.select("id", "shingles").join(own, "id").select(F.col("id").alias("rep"), "shingles"), "reps")
     star = settle(verify(star_edges(reps), reps, threshold), "star")
     classes = components(star.select("a", "b"))
-    # what the stars left out: other pairs inside a component
+    # what the stars left out: other pairs inside a component, and pairs that no star settled
     left, right = (classes.select("component", F.col("node").alias(x)) for x in "ab")
-    rest = left.join(right, "component").filter("a < b").select("a", "b").join(star.select("a", "b"), ["a", "b"], "left_anti")
+    inside = left.join(right, "component").filter("a < b").select("a", "b")
+    rest = inside.unionByName(prefix_pairs(reps, threshold)).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     return members, star.unionByName(verify(rest, reps, threshold))
 
 
