@@ -105,6 +105,19 @@ def test_survivor(spark):
     assert survivor.survivors(jobs.limit(0), sources, "votes").count() == 0
 
 
+def test_survivor_without_source(spark):
+    rows = [
+        (1, 1, None, "short", "n/a", "Spain", "senior", None), (2, None, 1, "a much longer text", "Berlin", None, None, None), (3, None, 1, "text", None, "Chile", None, "contract"),
+        (4, None, None, "x", "y", None, None, None), (5, None, 4, "xyz", None, "z", None, None),
+    ]
+    jobs = spark.createDataFrame(rows, "id long, source_id long, duplicate_of_job_id long, description string, location string, country string, seniority string, employment_type string").withColumn("last_seen_at", F.lit(None).cast("timestamp"))
+    sources = spark.createDataFrame([(1, 1)], "id long, trust_rank long")
+    want = {(1, "description"): 2, (1, "location"): 2, (1, "country"): 1, (1, "seniority"): 1, (1, "employment_type"): 3, (4, "description"): 5, (4, "location"): 4, (4, "country"): 5}
+    assert {(r["group_id"], r["field"]): r["id"] for r in survivor.survivors(jobs, sources).collect()} == want
+    fused = survivor.survivors(jobs, sources, "votes").collect()
+    assert {(r["group_id"], r["field"]) for r in fused} == set(want) and all(r["posterior"] is not None for r in fused)
+
+
 @pytest.fixture(scope="module")
 def merges():
     return tokens.Merges()
