@@ -34,6 +34,23 @@ def test_extraction(spark):
     assert one(spark, extract.years_required, "at least 7 years") == 7
 
 
+def test_languages_as_in_the_reference(spark):
+    names = "en english,es spanish,es español,es castellano,pt portuguese,pt português,pl polish,de german,de deutsch,fr french,fr français,nl dutch,it italian,sv swedish,cs czech,ro romanian,ru russian,uk ukrainian,tr turkish,ar arabic,he hebrew,hi hindi,ja japanese,ja 日本語,ko korean,ko 한국어,zh mandarin,zh chinese,zh 中文"
+    rows, want = [], {}
+    for code, name in (x.split() for x in names.split(",")):
+        for text, level in ((f"Strong {name.upper()}", "c1"), (f"{name} at N2", "c1"), (f"Requirements\n{name}", "b2"), (f"We like {name}", None), (f"Perks\nfluent {name}", None)):
+            rows.append((len(rows), text))
+            want |= {(rows[-1][0], code): (level, True)} if level else {}
+    for text, found in (
+        ("Nice to have\nprofessional Turkish", {"tr": ("c1", False)}), ("ネイティブの日本語", {"ja": ("c1", True)}), ("日本語ビジネスレベル", {"ja": ("c1", True)}), ("流暢な中文", {"zh": ("c1", True)}), ("Business level Korean", {"ko": ("c1", True)}),
+        ("fluent. English", {}), ("native " + "x" * 70 + " English", {}), ("Dutch " + "x" * 40 + " native", {}), ("Fluency in Polish and English (minimum C1 level)", {"pl": ("c1", True), "en": ("c1", True)}), ("strong englishman", {}),
+    ):
+        rows.append((len(rows), text))
+        want |= {(rows[-1][0], c): v for c, v in found.items()}
+    got = extract.languages_in(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert {(r["id"], r["code"]): (r["level"], r["required"]) for r in got} == want
+
+
 def sequential(rows):
     """The rule one row at a time."""
     canonical, out = [], {}
