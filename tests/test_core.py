@@ -51,6 +51,14 @@ def test_languages_as_in_the_reference(spark):
     assert {(r["id"], r["code"]): (r["level"], r["required"]) for r in got} == want
 
 
+def test_leads_by_every_wording(spark, tmp_path):
+    from vacantia.plans import texts
+
+    said = ["leading a team", "Head of Engineering", "a Staff+ role", "staff", "principal engineer", "tech lead", "staffing", "principal engineers"]
+    spark.createDataFrame(list(enumerate(said)), "id long, description string").write.parquet(f"{tmp_path}/jobs.parquet")
+    assert {r["id"] for r in texts.years_team(spark, str(tmp_path)).collect() if r["leads"]} == set(range(6))
+
+
 def sequential(rows):
     """The rule one row at a time."""
     canonical, out = [], {}
