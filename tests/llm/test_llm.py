@@ -53,13 +53,12 @@ def test_neardup_equals_brute_force(spark):
             n += 1
     rows += [(n, None, rows[0][2]), (n + 1, "Title", rows[0][2]), (n + 2, "t", None), (n + 3, "t", ""), (n + 4, "t", "two words")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id long, head string, body string, rep int")
-    members, links = neardup.link(neardup.shingled(df), 0.6)
+    members, links = neardup.link(df, 0.6)
     got = {(r["x"], r["y"]) for r in neardup.all_pairs(members, links).collect()}
     assert got == brute_pairs(rows, 3, 0.6) and len(got) > 50
     per = {r["id"]: r["links"] for r in neardup.groups(members, links).collect()}
     assert all(per.get(i, 0) == sum(i in p for p in got) for i in range(n + 5))
-    none = neardup.shingled(df.limit(0))
-    assert neardup.all_pairs(*neardup.link(none, 0.6)).count() == 0
+    assert neardup.all_pairs(*neardup.link(df.limit(0), 0.6)).count() == 0
 
 
 def test_neardup_loses_no_pair_below_shared_boilerplate(spark):
@@ -70,7 +69,7 @@ def test_neardup_loses_no_pair_below_shared_boilerplate(spark):
         own = [next(fresh) for _ in range(24 + k % 4)]
         for _ in range(2):
             rows.append((len(rows), "", " ".join([*boilerplate, *own, *[next(fresh) for _ in range(20 + rng.randrange(8))]])))
-    members, links = neardup.link(neardup.shingled(spark.createDataFrame(rows, "id long, head string, body string")), 0.6)
+    members, links = neardup.link(spark.createDataFrame(rows, "id long, head string, body string"), 0.6)
     got = {(r["x"], r["y"]) for r in neardup.all_pairs(members, links).collect()}
     want = brute_pairs(rows, 3, 0.6)
     assert got == want and 100 < len(want) <= 200, (len(got), len(want))
@@ -78,7 +77,7 @@ def test_neardup_loses_no_pair_below_shared_boilerplate(spark):
 
 def test_neardup_hot_group_of_copies(spark):
     df = spark.range(3000).select("id", F.lit("").alias("head"), F.lit("the same few words again and again for all").alias("body"))
-    members, links = neardup.link(neardup.shingled(df), 0.8)
+    members, links = neardup.link(df, 0.8)
     out = neardup.groups(members, links)
     assert out.select("group_id").distinct().count() == 1 and out.agg(F.min("links")).first()[0] == 2999
 

@@ -1,115 +1,146 @@
-"""Near-duplicate texts: one-permutation hashing with star-shaped edges, and an exact join for what the stars leave out.
-
-Texts with the same set of word sequences collapse to one representative first, so copies cost
-nothing further. Each representative's shingles fall once into BINS bins; empty bins borrow
-from bins chosen by a hash of (bin, attempt), the same for all texts. Bands of ROWS bins make
-bucket keys, and each bucket links its members to its smallest member only: edges are bounded by
-texts times bands. Edges are verified on the exact shingle sets, and all pairs inside a
-component of verified edges are verified again.
-
-The stars alone lose pairs: those that meet in no bucket, (1 - similarity^ROWS)^BANDS of them (7 %
-at 0.6, 0.6 % at 0.65), and those whose common buckets all have a centre that is like neither, as
-with shared boilerplate. Two sets of a similarity of at least the threshold share one of the
-first elements of any common order, so an equality join on these (prefix_pairs) brings all of
-them; its result is verified likewise, and nothing is lost. The order is by frequency, so that
-boilerplate comes last and stays out of the join unless it makes up most of a text.
+"""Near-duplicate texts: one-permutation hashing with optimal densification, banded buckets and star-shaped edges.
+
+One pass over the texts makes word shingles, a parity mask of the set, and band keys; shingles
+are not stored. Each shingle set falls once into BINS bins; empty bins borrow from bins chosen by
+a hash of (bin, attempt), the same for all texts. Bands of ROWS bins make bucket keys. Each bucket
+links its members to one of them only, chosen by hash, first among the rows of one batch, then
+among what is left of all batches, so that a bucket shared by a third of all rows is collapsed
+before it is shuffled: edges are bounded by texts times bands.
+
+A pair whose masks differ in h bits has at least h shingles that only one side holds; that drops
+edges that cannot reach the threshold. Of what is left, the ends of two edges with a common text
+are candidates too, as two members of a bucket are both linked with its centre only. Shingles
+are then made again for the texts of the candidates alone, and pairs are verified exactly.
+
+A pair at similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS: 3e-4 at 0.6, 2e-6
+at 0.65, 4e-10 at 0.7. It is lost too if in all its buckets the centre is like neither, which
+takes ROWS equal minima and a smaller hash each time. `brute_force` finds all links of some rows.
 
 Defined results: texts with fewer than `width` words have no shingles and no links; null and
-empty texts likewise; a text is never linked with itself.
+empty texts likewise; a text is never linked with itself; texts with the same set are one node.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.graph import components
 from vacantia.session import settle
 
-ROWS, BANDS = 8, 160
+ROWS, BANDS = 6, 170
 BINS = ROWS * BANDS
-#: Bits of a set's parity mask, and how many of the most frequent shingles are put in order of frequency.
-MASK_BITS, FREQUENT = 512, 1 << 17
+#: Bits of a set's parity mask, in words of 64.
+MASK_BITS = 512
+MASKS = [f"m{k}" for k in range(MASK_BITS // 64)]
+#: Bytes of a key beside the number of its partition, and keys that one task links at once.
+KEY_BYTES, KEYS_A_TASK = 5, 2_000_000
+#: Attempts of all bins at once, before those still empty are followed one by one.
+TOGETHER = 12
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_DOC, _KEYS, _EDGE = b"d", b"k", b"e"
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(tokens: list[str], width: int, known: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the sequences of `width` words; known caches the words' hashes."""
-    if len(tokens) < width:
-        return np.empty(0, dtype=np.int64)
-    h = np.fromiter((known.get(w) or known.setdefault(w, word_hash(w)) for w in tokens), dtype=np.uint64, count=len(tokens))
-    out = np.zeros(len(tokens) - width + 1, dtype=np.uint64)
-    for k in range(width):
-        out = _mix(out * _GOLDEN + h[k : len(h) - width + 1 + k])
-    return np.unique(out.view(np.int64))
+def word_characters() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.frombuffer(bytes(chr(i).isalnum() for i in range(0x110000)), dtype=np.bool_)
 
 
-def shingled(texts: DataFrame, width: int = 3, min_words: int = 1, keep_words: int = 1 << 19) -> DataFrame:
-    """(id, head, body) to (id, shingles, s1, s2): shingles of head and body together, s1 and s2 naming the set.
+def shingle_sets(heads: list[str | None], bodies: list[str | None], width: int, min_words: int, letters: np.ndarray) -> dict[int, np.ndarray]:
+    """By place in the lists: sorted distinct 64-bit hashes of the sequences of `width` words of head and body together.
 
-    Rows whose body has fewer than min_words words get no row. Words are maximal sequences of
-    letters and digits, in lower case.
+    Words are maximal sequences of letters and digits, in lower case. Texts whose body has fewer
+    than min_words words are left out. All words of the lists are hashed at once.
     """
+    tops = [(h or "").lower() + "\n" for h in heads]
+    texts = [h + (b or "").lower() for h, b in zip(tops, bodies)]
+    if not texts:
+        return {}
+    codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
+    inside = letters[codes]
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    start, length = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+    if len(start) < width:
+        return {}
+    flat = codes[inside].astype(np.uint64)
+    at = np.concatenate(([0], np.cumsum(length)[:-1]))
+    power = np.cumprod(np.full(int(length.max()), _GOLDEN))
+    words = _mix(np.add.reduceat(flat * power[np.arange(len(flat)) - np.repeat(at, length)], at) + length.astype(np.uint64))
+    owner = np.searchsorted(first, start, side="right") - 1
+    body_words = np.bincount(owner[start >= first[owner] + np.array([len(t) for t in tops])[owner]], minlength=len(texts))
+    m = len(words) - width + 1
+    out = np.zeros(m, dtype=np.uint64)
+    for k in range(width):
+        out = _mix(out * _GOLDEN + words[k : m + k])
+    good = (owner[:m] == owner[width - 1 :]) & (body_words[owner[:m]] >= min_words)
+    out, owner = out[good].view(np.int64), owner[:m][good]
+    if not len(out):
+        return {}
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    return {int(i): np.unique(x) for i, x in zip(owner[np.concatenate(([0], cuts))], np.split(out, cuts))}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, known = re.compile(r"[^\W_]+").findall, {}
-        for pdf in batches:
-            ids, sets, one, two = [], [], [], []
-            for i, head, body in zip(pdf["id"], pdf["head"], pdf["body"]):
-                words = find(body.lower()) if body else []
-                if len(words) < min_words:
-                    continue
-                found = shingle_set((find(head.lower()) if head else []) + words, width, known)
-                if len(found):
-                    name = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    ids.append(i)
-                    sets.append(found)
-                    one.append(int.from_bytes(name[:8], "little", signed=True))
-                    two.append(int.from_bytes(name[8:], "little", signed=True))
-            if len(known) > keep_words:
-                known.clear()
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "shingles": sets, "s1": pd.Series(one, dtype="int64"), "s2": pd.Series(two, dtype="int64")})
-
-    return texts.select("id", "head", "body").mapInPandas(read, "id long, shingles array<bigint>, s1 long, s2 long")
 
+def _runs(pdf: pd.DataFrame, chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
+    """Slices of about `chars` characters; a longer text is a slice by itself."""
+    size = pdf["head"].str.len().fillna(0).to_numpy() + pdf["body"].str.len().fillna(0).to_numpy()
+    run = (np.cumsum(size) // chars).astype(np.int64)
+    for start, stop in zip(*(lambda c: (np.concatenate(([0], c)), np.concatenate((c, [len(pdf)]))))(np.flatnonzero(np.diff(run)) + 1)):
+        yield pdf.iloc[int(start) : int(stop)]
+
+
+def _name(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def parity_mask(shingles: np.ndarray) -> np.ndarray:
+    """For each of MASK_BITS bits whether an odd number of shingles falls on it, as words of 64."""
+    bits = np.bincount((_mix(shingles.view(np.uint64)) % np.uint64(MASK_BITS)).astype(np.int64), minlength=MASK_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def attempts(bins: int, count: int) -> np.ndarray:
+    """The bins that an empty bin borrows from, attempts x bins."""
+    own = np.arange(bins, dtype=np.uint64) * _GOLDEN
+    return np.array([_mix(own + np.uint64(a + 1)) % np.uint64(bins) for a in range(count)]).astype(np.int16)
 
-def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One-permutation sketches, texts x BINS, of flat shingle hashes. Every text has at least one shingle."""
+
+def sketches(flat: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One-permutation sketches, texts x bins, of flat shingle hashes. Every text has at least one shingle."""
     n = len(sizes)
-    owner = np.repeat(np.arange(n), sizes)
-    h = _mix(flat.astype(np.uint64))
-    place = owner * BINS + ((h >> np.uint64(32)) % np.uint64(BINS)).astype(np.int64)
-    out = np.full(n * BINS, _EMPTY)
-    np.minimum.at(out, place, h)
+    h = _mix(flat.view(np.uint64))
+    place = np.repeat(np.arange(n) * bins, sizes) + ((h >> np.uint64(32)) % np.uint64(bins)).astype(np.int64)
+    down = np.argsort(h)[::-1]  # the smallest of a bin is written last
+    out = np.full(n * bins, _EMPTY)
+    out[place[down]] = h[down]
+    out = out.reshape(n, bins)
     full = out != _EMPTY
-    left = np.flatnonzero(~full)
-    row, bin_ = left // BINS, (left % BINS).astype(np.uint64)
-    attempt = np.uint64(0)
-    while len(left):
-        attempt += np.uint64(1)
-        source = row * BINS + (_mix(bin_ * _GOLDEN + attempt) % np.uint64(BINS)).astype(np.int64)
-        hit = full[source]
-        out[left[hit]] = out[source[hit]]
-        left, row, bin_ = left[~hit], row[~hit], bin_[~hit]
-    return out.reshape(n, BINS)
+    source = np.full((n, bins), -1, dtype=np.int16)
+    table = attempts(bins, TOGETHER)
+    for row in table[::-1]:  # the first attempt that hits is written last
+        np.copyto(source, row, where=full[:, row])
+    np.copyto(source, np.arange(bins, dtype=np.int16), where=full)
+    rest, bin_ = np.nonzero(source < 0)
+    attempt = TOGETHER
+    while len(rest):
+        attempt += 1
+        tried = (_mix(bin_.astype(np.uint64) * _GOLDEN + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+        hit = full[rest, tried]
+        source[rest[hit], bin_[hit]] = tried[hit]
+        rest, bin_ = rest[~hit], bin_[~hit]
+    return np.take_along_axis(out, source.astype(np.int64), axis=1)
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -118,108 +149,165 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN, (len(sketch), BANDS)).copy()
     for r in range(ROWS):
         key = _mix(key * np.uint64(0x100000001B3) + parts[:, :, r])
-    return key.view(np.int64)
+    return key
+
+
+def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat keys with their ids: edges (centres, others), each once, and which places are the centre of their key.
+
+    The centre is the member with the smallest hash of key and id, so that two texts do not have
+    the same third one, like neither, between them in every bucket.
+    """
+    order = np.lexsort((_mix(ids.astype(np.uint64) * _GOLDEN ^ keys), keys))
+    k = keys[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    centre = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    other = ids[order]
+    edges = np.unique(np.stack([centre, other])[:, ~new & (centre != other)], axis=1)
+    chosen = np.zeros(len(keys), dtype=bool)
+    chosen[order[new]] = True
+    return edges[0], edges[1], chosen
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketched(width: int, min_words: int, tasks: int):
+    """Texts to rows (part, id, cell): one a text with the name, size and mask of its set, one an edge of the batch, and its keys by partition."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = word_characters()
+        for batch in batches:
+            ids, names, sizes, masks, rows = [], [], [], [], []
+            for pdf in _runs(batch):
+                found = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters)
+                own = pdf["id"].to_numpy()
+                known = set(names)
+                fresh = []
+                for i, x in found.items():
+                    name = _name(x)
+                    ids.append(own[i])
+                    names.append(name)
+                    sizes.append(len(x))
+                    masks.append(parity_mask(x).tobytes())
+                    if name not in known:  # copies in one batch make keys once
+                        known.add(name)
+                        fresh.append((own[i], x))
+                for k in range(0, len(fresh), 256):
+                    part = fresh[k : k + 256]
+                    keys = band_keys(sketches(np.concatenate([x for _, x in part]), np.array([len(x) for _, x in part])))
+                    rows.append((np.array([i for i, _ in part], dtype=np.int64), keys))
+            if not ids:
+                continue
+            cells = [_DOC + n + np.int32(s).tobytes() + m for n, s, m in zip(names, sizes, masks)]
+            yield pd.DataFrame({"part": np.array(ids, dtype=np.int64) % tasks, "id": ids, "cell": cells})
+            flat, who = np.concatenate([k for _, k in rows]).ravel(), np.repeat(np.concatenate([i for i, _ in rows]), BANDS)
+            a, b, centres = star(flat, who)
+            yield pd.DataFrame({"part": b % tasks, "id": b, "cell": [_EDGE + x.tobytes() for x in a]})
+            flat, who = flat[centres], who[centres]
+            part = (flat % np.uint64(tasks)).astype(np.int64)
+            order = np.lexsort((part, who))
+            part, who, flat = part[order], who[order], (flat[order] // np.uint64(tasks)).astype("<u8")
+            bytes_ = flat.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].copy()
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(who) != 0)) + 1
+            begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
+            data = bytes_.tobytes()
+            yield pd.DataFrame({"part": part[begins], "id": who[begins], "cell": [_KEYS + data[s * KEY_BYTES : e * KEY_BYTES] for s, e in zip(begins, ends)]})
+
+    return read
+
+
+_LINKED = "a long, b long, s1 long, s2 long, size int, " + ", ".join(f"{m} long" for m in MASKS)
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One partition's rows to its edges (a, b) and texts (b with name, size and mask). It holds KEYS_A_TASK keys or so."""
+    columns = _LINKED.replace(" long", "").replace(" int", "").split(", ")
+    keys, who, edges = [], [], []
     for pdf in batches:
-        for start in range(0, len(pdf), 256):
-            part = pdf.iloc[start : start + 256]
-            sizes = np.array([len(x) for x in part["shingles"]])
-            keys = band_keys(sketches(np.concatenate(part["shingles"].to_numpy()), sizes))
-            yield pd.DataFrame({"rep": part["rep"].to_numpy(), "keys": list(keys)})
+        kind = pdf["cell"].str[:1] if len(pdf) else pd.Series([], dtype=object)
+        docs, own, held = pdf[kind == _DOC], pdf[kind == _EDGE], pdf[kind == _KEYS]
+        if len(docs):
+            raw = np.frombuffer(b"".join(docs["cell"]), dtype=np.uint8).reshape(len(docs), -1)
+            name = raw[:, 1:17].copy().view(np.int64)
+            mask = raw[:, 21:].copy().view(np.int64)
+            out = {"a": pd.array([None] * len(docs), dtype="Int64"), "b": docs["id"].to_numpy(), "s1": name[:, 0], "s2": name[:, 1], "size": raw[:, 17:21].copy().view(np.int32)[:, 0]}
+            yield pd.DataFrame(out | {m: mask[:, k] for k, m in enumerate(MASKS)})
+        if len(own):
+            edges.append(np.stack([np.frombuffer(b"".join(c[1:] for c in own["cell"]), dtype=np.int64), own["id"].to_numpy()]))
+        if len(held):
+            sizes = held["cell"].str.len().to_numpy() - 1
+            raw = np.frombuffer(b"".join(c[1:] for c in held["cell"]), dtype=np.uint8).reshape(-1, KEY_BYTES)
+            wide = np.zeros((len(raw), 8), dtype=np.uint8)
+            wide[:, :KEY_BYTES] = raw
+            keys.append(wide.view(np.uint64)[:, 0])
+            who.append(np.repeat(held["id"].to_numpy(), sizes // KEY_BYTES))
+    if keys:
+        edges.append(np.stack(star(np.concatenate(keys), np.concatenate(who))[:2]))
+    if edges:
+        both = np.unique(np.concatenate(edges, axis=1), axis=1)
+        for k in range(0, both.shape[1], 1 << 16):
+            part = both[:, k : k + (1 << 16)]
+            yield pd.DataFrame({"a": part[0], "b": part[1]} | {c: pd.array([None] * part.shape[1], dtype="Int64") for c in columns[2:]})
+
+
+def _may_reach(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of nodes to distinct (a, b) of their representatives, a < b, whose sizes and masks allow the threshold."""
+    left, right = (nodes.select(F.col("id").alias(x), F.col("rep").alias(f"rep{x}"), F.col("size").alias(f"size{x}"), *[F.col(m).alias(f"{m}{x}") for m in MASKS]) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").filter("repa <> repb")
+    total = F.col("sizea") + F.col("sizeb")
+    apart = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MASKS), F.lit(0))
+    need = 2 * threshold / (1 + threshold)  # of the two sizes together, twice the shingles to be shared
+    kept = both.filter((total - F.greatest(apart, F.abs(F.col("sizea") - F.col("sizeb")))) >= need * total - 1e-9)
+    return kept.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
+
+
+def _wedges(edges: DataFrame) -> DataFrame:
+    """Edges, and the ends of two edges with a common text, smaller first."""
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = ends.select("a", F.col("b").alias("x")).join(ends.select("a", F.col("b").alias("y")), "a").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return across.distinct()
+
+
+def shingled(texts: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(id, head, body) to (rep, shingles)."""
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = word_characters()
+        for batch in batches:
+            for pdf in _runs(batch):
+                found, own = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters), pdf["id"].to_numpy()
+                yield pd.DataFrame({"rep": own[list(found)] if found else np.empty(0, dtype=np.int64), "shingles": list(found.values())})
 
-def star_edges(reps: DataFrame) -> DataFrame:
-    """(rep, shingles) to distinct (a, b): each bucket's smallest member a with each other member b."""
-    rows = reps.filter(F.size("shingles") > 0).mapInPandas(_keys, "rep long, keys array<bigint>").select("rep", F.explode("keys").alias("key"))
-    # a window rather than a collected list: a bucket of any size is streamed and may spill
-    centred = rows.select(F.min("rep").over(Window.partitionBy("key")).alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    return centred.distinct()
+    return texts.select("id", "head", "body").mapInPandas(read, "rep long, shingles array<bigint>")
 
 
-def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rep, shingles) to (rep, size, m0..m7, tokens): rarest shingles first, as many as a partner must share one of.
+def similarity(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
 
-    Any order that is the same for all sets is right; that the less frequent are told apart by
-    their hash only makes the join larger. m0..m7 hold for each of MASK_BITS bits whether an odd
-    number of shingles falls on it.
-    """
-    counts = reps.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    top = counts.orderBy(F.desc("n")).limit(FREQUENT).collect()
-    known = np.array(sorted((r["token"], r["n"]) for r in top), dtype=np.int64).reshape(-1, 2)
-    shared = reps.sparkSession.sparkContext.broadcast((known[:, 0].copy(), known[:, 1].copy()))  # at most 2 MB
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token, n = shared.value
-        for pdf in batches:
-            sizes, masks, kept = [], [], []
-            for x in pdf["shingles"]:
-                x = np.asarray(x, dtype=np.int64)
-                often = np.zeros(len(x), dtype=np.int64)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
-                    often = np.where(token[at] == x, n[at], 0)
-                bits = np.bincount((_mix(x.view(np.uint64)) % np.uint64(MASK_BITS)).astype(np.int64), minlength=MASK_BITS) & 1
-                sizes.append(len(x))
-                masks.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                kept.append(x[np.lexsort((x, often))][: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1])
-            mask = np.array(masks, dtype=np.int64).reshape(-1, MASK_BITS // 64)
-            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "size": pd.Series(sizes, dtype="int32"), **{f"m{k}": mask[:, k] for k in range(MASK_BITS // 64)}, "tokens": kept})
-
-    words = ", ".join(f"m{k} long" for k in range(MASK_BITS // 64))
-    return reps.filter(F.size("shingles") > 0).mapInPandas(read, f"rep long, size int, {words}, tokens array<bigint>")
-
-
-def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """(rep, shingles) to distinct (a, b), a < b: every pair that reaches the threshold, and some that don't.
-
-    A pair of sizes x and y reaches it with `need` = t / (1 + t) (x + y) common shingles. The first
-    common one in the order has at least `need` shingles from it to the end of either set; for the
-    smaller set that is a shorter prefix. Masks that differ in h bits have at least h shingles
-    that only one set holds.
-    """
-    heads = settle(_prefixes(reps, threshold), "prefixes")
-    masks = [f"m{k}" for k in range(MASK_BITS // 64)]
-
-    def side(x: str, tokens: Column) -> DataFrame:
-        rows = heads.select("rep", "size", *masks, F.posexplode(tokens).alias("pos", "token"))
-        return rows.select("token", F.col("rep").alias(f"rep{x}"), F.col("size").alias(f"size{x}"), (F.col("size") - F.col("pos")).alias(f"rest{x}"), *[F.col(m).alias(f"{m}{x}") for m in masks])
-
-    share = threshold / (1 + threshold)
-    shorter = F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9).cast("int") + 1
-    need = share * (F.col("sizes") + F.col("sizel")) - 1e-9
-    apart = sum((F.bit_count(F.col(f"{m}s").bitwiseXOR(F.col(f"{m}l"))) for m in masks), F.lit(0))
-    both = side("s", F.slice("tokens", F.lit(1), shorter)).join(side("l", F.col("tokens")), "token")
-    kept = both.filter(
-        ((F.col("sizes") < F.col("sizel")) | ((F.col("sizes") == F.col("sizel")) & (F.col("reps") < F.col("repl"))))
-        & (F.col("rests") >= need) & (F.col("restl") >= need) & (F.col("sizes") >= threshold * F.col("sizel") - 1e-9)
-        & (F.col("sizes") + F.col("sizel") - apart >= 2 * need)
-    )
-    return kept.select(F.least("reps", "repl").alias("a"), F.greatest("reps", "repl").alias("b")).distinct()
-
-
-def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, width: int, min_words: int, threshold: float) -> DataFrame:
     """(a, b) pairs whose exact similarity reaches the threshold, with the similarity."""
-    left, right = (reps.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
-def link(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Shingled texts to members (id, rep) and links (a, b, similarity) between representatives, a < b."""
-    docs = settle(texts, "shingles")
-    sets = docs.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    members = settle(docs.select("id", "s1", "s2").join(sets, ["s1", "s2"]).select("id", "rep"), "members")
-    own = members.filter("id = rep").select("id")
-    reps = settle(docs.select("id", "shingles").join(own, "id").select(F.col("id").alias("rep"), "shingles"), "reps")
-    star = settle(verify(star_edges(reps), reps, threshold), "star")
-    classes = components(star.select("a", "b"))
-    # what the stars left out: other pairs inside a component, and pairs that no star settled
-    left, right = (classes.select("component", F.col("node").alias(x)) for x in "ab")
-    inside = left.join(right, "component").filter("a < b").select("a", "b")
-    rest = inside.unionByName(prefix_pairs(reps, threshold)).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    return members, star.unionByName(verify(rest, reps, threshold))
+    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = shingled(texts.join(used, "id", "left_semi"), width, min_words)
+    sets = settle(sets, "verified-shingles")
+    left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def link(texts: DataFrame, threshold: float, width: int = 3, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, head, body) to members (id, rep) and links (a, b, similarity) between representatives, a < b."""
+    texts = texts.select("id", "head", "body")
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * BANDS // KEYS_A_TASK))
+    rows = texts.mapInPandas(_sketched(width, min_words, tasks), "part int, id long, cell binary")
+    found = settle(rows.repartition(tasks, "part").mapInPandas(_linked, _LINKED), "sketches")
+    docs = found.filter("a is null").select(F.col("b").alias("id"), "s1", "s2", "size", *MASKS)
+    names = docs.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    nodes = settle(docs.join(names, ["s1", "s2"]).drop("s1", "s2"), "nodes")
+    near = settle(_may_reach(nodes, found.filter("a is not null").select("a", "b").distinct(), threshold), "near")
+    more = _may_reach(nodes.filter("id = rep"), _wedges(near).join(near, ["a", "b"], "left_anti"), threshold)
+    links = verify(settle(near.unionByName(more), "candidates"), texts, width, min_words, threshold)
+    return nodes.select("id", "rep"), links
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,3 +328,42 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     classes = components(links).select(F.col("node").alias("rep"), "component")
     out = members.join(sizes, "rep").join(near, "rep", "left").join(classes, "rep", "left")
     return out.select("id", F.coalesce("component", "rep").alias("group_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+
+
+def brute_force(texts: DataFrame, queries: DataFrame, threshold: float, width: int = 3, min_words: int = 1, block: int = 2048) -> DataFrame:
+    """(id, head, body) of the queries against all texts: every pair (x, y) with x a query that reaches the threshold.
+
+    Exact. Queries go out in blocks of `block` rows, each block one pass over the texts, so that a
+    broadcast never grows; a text is held against a whole block by masks, and by shingles where these allow it.
+    """
+    spark = texts.sparkSession
+    asked, sets = settle(shingled(queries, width, min_words), "queries"), settle(shingled(texts, width, min_words), "all-shingles")
+    out = spark.createDataFrame([], "x long, y long")
+    blocks = max(1, -(-asked.count() // block))
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).toArrow().to_pydict()
+        if rows["rep"]:
+            held = [np.array(x, dtype=np.int64) for x in rows["shingles"]]
+            shared = spark.sparkContext.broadcast((np.array(rows["rep"]), held, np.stack([parity_mask(x) for x in held])))
+            out = out.unionByName(sets.mapInPandas(_against(shared, threshold), "x long, y long"))
+    return out
+
+
+def _against(shared, threshold: float):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held, masks = shared.value
+        sizes = np.array([len(x) for x in held])
+        need = 2 * threshold / (1 + threshold)
+        for pdf in batches:
+            xs, ys = [], []
+            for rep, own in zip(pdf["rep"], pdf["shingles"]):
+                apart = np.bitwise_count((masks ^ parity_mask(own)).view(np.uint64)).sum(axis=1)
+                total = sizes + len(own)
+                for k in np.flatnonzero(total - np.maximum(apart, np.abs(sizes - len(own))) >= need * total - 1e-9):
+                    both = len(np.intersect1d(held[k], own, assume_unique=True))
+                    if ids[k] != rep and both >= threshold * (total[k] - both) - 1e-9:
+                        xs.append(ids[k])
+                        ys.append(rep)
+            yield pd.DataFrame({"x": pd.Series(xs, dtype="int64"), "y": pd.Series(ys, dtype="int64")})
+
+    return read

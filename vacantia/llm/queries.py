@@ -36,22 +36,34 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Shingles of title, company_name and description of postings whose description has at least 40 words."""
-    jobs = table(spark, d, "jobs").select("id", F.concat_ws(" ", "title", "company_name").alias("head"), displayed(F.col("description")).alias("body"))
-    return neardup.shingled(jobs, width=3, min_words=40)
+    return table(spark, d, "jobs").select("id", F.concat_ws(" ", "title", "company_name").alias("head"), displayed(F.col("description")).alias("body"))
+
+
+#: Words to a sequence, words that a description needs, and the similarity asked for.
+_P3 = {"width": 3, "min_words": 40, "threshold": 0.6}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = neardup.link(_postings(spark, d), 0.6)
+    members, links = neardup.link(_postings(spark, d), **_P3)
     return neardup.all_pairs(members, links).select(F.col("x").alias("job_id_a"), F.col("y").alias("job_id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each posting with its group of near-duplicates and its number of links."""
-    members, links = neardup.link(_postings(spark, d), 0.6)
+    members, links = neardup.link(_postings(spark, d), **_P3)
     return neardup.groups(members, settle(links, "links")).withColumnRenamed("id", "job_id")
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the postings whose id is divisible by 20, by brute force against all rows, and how many of them are found: one row."""
+    texts = _postings(spark, d)
+    members, links = neardup.link(texts, **_P3)
+    found = neardup.all_pairs(members, links).select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("p.*").filter("x % 20 = 0")
+    true = neardup.brute_force(texts, texts.filter("id % 20 = 0"), **_P3)
+    both = true.join(found.withColumn("hit", F.lit(1)), ["x", "y"], "left")
+    return both.agg(F.count(F.lit(1)).alias("links"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "job_skills").filter("skill_id is null and raw_form is not null").select(F.col("id").alias("job_skill_id"), F.col("raw_form").alias("value"))
     entries = table(spark, d, "skills").select(F.col("id").alias("entry_id"), "name")
@@ -133,5 +145,5 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalise(docs, lookalike.learn(docs)).select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_languages": p2_languages}
+QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p3_recall": p3_recall, "p2_found": p2_found, "p2_languages": p2_languages}
 ORACLES: dict[str, str] = {**_P4_ORACLES, "p6_found": survivor.survivors_oracle()}
