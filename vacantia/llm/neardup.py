@@ -23,7 +23,7 @@ empty texts likewise; a text is never linked with itself; texts with the same se
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,11 @@ TOGETHER = 12
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _DOC, _KEYS, _EDGE = b"d", b"k", b"e"
+Shown = Callable[[Column], Column]
+
+
+def _as_is(text: Column) -> Column:
+    return text
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,10 +110,11 @@ def _name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def parity_mask(shingles: np.ndarray) -> np.ndarray:
-    """For each of MASK_BITS bits whether an odd number of shingles falls on it, as words of 64."""
-    bits = np.bincount((_mix(shingles.view(np.uint64)) % np.uint64(MASK_BITS)).astype(np.int64), minlength=MASK_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity_masks(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set and each of MASK_BITS bits whether an odd number of shingles falls on it, as sets x words of 64."""
+    owner = np.repeat(np.arange(len(sizes)) * MASK_BITS, sizes)
+    bits = np.bincount(owner + (_mix(flat.view(np.uint64)) % np.uint64(MASK_BITS)).astype(np.int64), minlength=len(sizes) * MASK_BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(-1, MASK_BITS), axis=1).view(np.int64)
 
 
 def attempts(bins: int, count: int) -> np.ndarray:
@@ -125,22 +131,21 @@ def sketches(flat: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarra
     down = np.argsort(h)[::-1]  # the smallest of a bin is written last
     out = np.full(n * bins, _EMPTY)
     out[place[down]] = h[down]
-    out = out.reshape(n, bins)
+    out = np.ascontiguousarray(out.reshape(n, bins).T)  # bins x texts, so that an attempt moves whole rows
     full = out != _EMPTY
-    source = np.full((n, bins), -1, dtype=np.int16)
-    table = attempts(bins, TOGETHER)
-    for row in table[::-1]:  # the first attempt that hits is written last
-        np.copyto(source, row, where=full[:, row])
-    np.copyto(source, np.arange(bins, dtype=np.int16), where=full)
-    rest, bin_ = np.nonzero(source < 0)
+    source = np.full((bins, n), -1, dtype=np.int16)
+    for row in attempts(bins, TOGETHER)[::-1]:  # the first attempt that hits is written last
+        np.copyto(source, row[:, None], where=full[row])
+    np.copyto(source, np.arange(bins, dtype=np.int16)[:, None], where=full)
+    bin_, rest = np.nonzero(source < 0)
     attempt = TOGETHER
     while len(rest):
         attempt += 1
         tried = (_mix(bin_.astype(np.uint64) * _GOLDEN + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        hit = full[rest, tried]
-        source[rest[hit], bin_[hit]] = tried[hit]
+        hit = full[tried, rest]
+        source[bin_[hit], rest[hit]] = tried[hit]
         rest, bin_ = rest[~hit], bin_[~hit]
-    return np.take_along_axis(out, source.astype(np.int64), axis=1)
+    return np.take_along_axis(out, source.astype(np.int64), axis=0).T
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -158,35 +163,38 @@ def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     The centre is the member with the smallest hash of key and id, so that two texts do not have
     the same third one, like neither, between them in every bucket.
     """
-    order = np.lexsort((_mix(ids.astype(np.uint64) * _GOLDEN ^ keys), keys))
+    order = np.argsort(keys)
     k = keys[order]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    centre = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    other = ids[order]
-    edges = np.unique(np.stack([centre, other])[:, ~new & (centre != other)], axis=1)
-    chosen = np.zeros(len(keys), dtype=bool)
-    chosen[order[new]] = True
+    again = k[1:] == k[:-1]
+    chosen = np.ones(len(keys), dtype=bool)
+    held = order[np.concatenate(([False], again)) | np.concatenate((again, [False]))]  # keys that several rows have
+    held = held[np.lexsort((_mix(ids[held].astype(np.uint64) * _GOLDEN ^ keys[held]), keys[held]))]
+    k, own = keys[held], ids[held]
+    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=bool)
+    centre = own[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    edges = np.unique(np.stack([centre, own])[:, ~new & (centre != own)], axis=1)
+    chosen[held[~new]] = False
     return edges[0], edges[1], chosen
 
 
-def _sketched(width: int, min_words: int, tasks: int):
+def _sketched(width: int, min_words: int, tasks: int, letters):
     """Texts to rows (part, id, cell): one a text with the name, size and mask of its set, one an edge of the batch, and its keys by partition."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = word_characters()
         for batch in batches:
-            ids, names, sizes, masks, rows = [], [], [], [], []
+            ids, names, sizes, masks, rows, known = [], [], [], [], [], set()
             for pdf in _runs(batch):
-                found = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters)
+                found = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters.value)
                 own = pdf["id"].to_numpy()
-                known = set(names)
                 fresh = []
+                if found:
+                    held = list(found.values())
+                    masks += map(bytes, parity_masks(np.concatenate(held), np.array([len(x) for x in held])))
                 for i, x in found.items():
                     name = _name(x)
                     ids.append(own[i])
                     names.append(name)
                     sizes.append(len(x))
-                    masks.append(parity_mask(x).tobytes())
                     if name not in known:  # copies in one batch make keys once
                         known.add(name)
                         fresh.append((own[i], x))
@@ -203,7 +211,8 @@ def _sketched(width: int, min_words: int, tasks: int):
             yield pd.DataFrame({"part": b % tasks, "id": b, "cell": [_EDGE + x.tobytes() for x in a]})
             flat, who = flat[centres], who[centres]
             part = (flat % np.uint64(tasks)).astype(np.int64)
-            order = np.lexsort((part, who))
+            nth = np.cumsum(np.concatenate(([0], who[1:] != who[:-1])))
+            order = np.argsort(nth * tasks + part, kind="stable")
             part, who, flat = part[order], who[order], (flat[order] // np.uint64(tasks)).astype("<u8")
             bytes_ = flat.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].copy()
             cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(who) != 0)) + 1
@@ -266,17 +275,18 @@ def _wedges(edges: DataFrame) -> DataFrame:
     return across.distinct()
 
 
-def shingled(texts: DataFrame, width: int, min_words: int) -> DataFrame:
+def shingled(texts: DataFrame, width: int, min_words: int, shown: Shown = _as_is) -> DataFrame:
     """(id, head, body) to (rep, shingles)."""
 
+    letters = texts.sparkSession.sparkContext.broadcast(word_characters())  # 1.1 MB, fixed
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = word_characters()
         for batch in batches:
             for pdf in _runs(batch):
-                found, own = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters), pdf["id"].to_numpy()
+                found, own = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters.value), pdf["id"].to_numpy()
                 yield pd.DataFrame({"rep": own[list(found)] if found else np.empty(0, dtype=np.int64), "shingles": list(found.values())})
 
-    return texts.select("id", "head", "body").mapInPandas(read, "rep long, shingles array<bigint>")
+    return texts.select("id", "head", shown(F.col("body")).alias("body")).mapInPandas(read, "rep long, shingles array<bigint>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -284,29 +294,33 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, min_words: int, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, min_words: int, shown: Shown = _as_is) -> DataFrame:
     """(a, b) pairs whose exact similarity reaches the threshold, with the similarity."""
     used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = shingled(texts.join(used, "id", "left_semi"), width, min_words)
-    sets = settle(sets, "verified-shingles")
+    sets = settle(shingled(texts.join(used, "id", "left_semi"), width, min_words, shown), "verified-shingles")
     left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     return both.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def link(texts: DataFrame, threshold: float, width: int = 3, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(id, head, body) to members (id, rep) and links (a, b, similarity) between representatives, a < b."""
+def link(texts: DataFrame, threshold: float, width: int = 3, min_words: int = 1, shown: Shown = _as_is) -> tuple[DataFrame, DataFrame]:
+    """(id, head, body) to members (id, rep) and links (a, b, similarity) between representatives, a < b.
+
+    shown makes the words' text of body; it is applied where texts are read, so that it never runs
+    on rows that a later step leaves out.
+    """
     texts = texts.select("id", "head", "body")
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * BANDS // KEYS_A_TASK))
-    rows = texts.mapInPandas(_sketched(width, min_words, tasks), "part int, id long, cell binary")
+    letters = spark.sparkContext.broadcast(word_characters())  # 1.1 MB, fixed
+    rows = texts.select("id", "head", shown(F.col("body")).alias("body")).mapInPandas(_sketched(width, min_words, tasks, letters), "part int, id long, cell binary")
     found = settle(rows.repartition(tasks, "part").mapInPandas(_linked, _LINKED), "sketches")
     docs = found.filter("a is null").select(F.col("b").alias("id"), "s1", "s2", "size", *MASKS)
     names = docs.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     nodes = settle(docs.join(names, ["s1", "s2"]).drop("s1", "s2"), "nodes")
     near = settle(_may_reach(nodes, found.filter("a is not null").select("a", "b").distinct(), threshold), "near")
     more = _may_reach(nodes.filter("id = rep"), _wedges(near).join(near, ["a", "b"], "left_anti"), threshold)
-    links = verify(settle(near.unionByName(more), "candidates"), texts, width, min_words, threshold)
+    links = verify(settle(near.unionByName(more), "candidates"), texts, threshold, width, min_words, shown)
     return nodes.select("id", "rep"), links
 
 
@@ -330,21 +344,21 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("component", "rep").alias("group_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
-def brute_force(texts: DataFrame, queries: DataFrame, threshold: float, width: int = 3, min_words: int = 1, block: int = 2048) -> DataFrame:
+def brute_force(texts: DataFrame, queries: DataFrame, threshold: float, width: int = 3, min_words: int = 1, shown: Shown = _as_is, block: int = 2048) -> DataFrame:
     """(id, head, body) of the queries against all texts: every pair (x, y) with x a query that reaches the threshold.
 
     Exact. Queries go out in blocks of `block` rows, each block one pass over the texts, so that a
     broadcast never grows; a text is held against a whole block by masks, and by shingles where these allow it.
     """
     spark = texts.sparkSession
-    asked, sets = settle(shingled(queries, width, min_words), "queries"), settle(shingled(texts, width, min_words), "all-shingles")
+    asked, sets = settle(shingled(queries, width, min_words, shown), "queries"), settle(shingled(texts, width, min_words, shown), "all-shingles")
     out = spark.createDataFrame([], "x long, y long")
     blocks = max(1, -(-asked.count() // block))
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).toArrow().to_pydict()
         if rows["rep"]:
             held = [np.array(x, dtype=np.int64) for x in rows["shingles"]]
-            shared = spark.sparkContext.broadcast((np.array(rows["rep"]), held, np.stack([parity_mask(x) for x in held])))
+            shared = spark.sparkContext.broadcast((np.array(rows["rep"]), held, parity_masks(np.concatenate(held), np.array([len(x) for x in held]))))
             out = out.unionByName(sets.mapInPandas(_against(shared, threshold), "x long, y long"))
     return out
 
@@ -357,7 +371,7 @@ def _against(shared, threshold: float):
         for pdf in batches:
             xs, ys = [], []
             for rep, own in zip(pdf["rep"], pdf["shingles"]):
-                apart = np.bitwise_count((masks ^ parity_mask(own)).view(np.uint64)).sum(axis=1)
+                apart = np.bitwise_count((masks ^ parity_masks(own, np.array([len(own)]))).view(np.uint64)).sum(axis=1)
                 total = sizes + len(own)
                 for k in np.flatnonzero(total - np.maximum(apart, np.abs(sizes - len(own))) >= need * total - 1e-9):
                     both = len(np.intersect1d(held[k], own, assume_unique=True))

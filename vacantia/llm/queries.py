@@ -36,11 +36,11 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").select("id", F.concat_ws(" ", "title", "company_name").alias("head"), displayed(F.col("description")).alias("body"))
+    return table(spark, d, "jobs").select("id", F.concat_ws(" ", "title", "company_name").alias("head"), F.col("description").alias("body"))
 
 
 #: Words to a sequence, words that a description needs, and the similarity asked for.
-_P3 = {"width": 3, "min_words": 40, "threshold": 0.6}
+_P3 = {"width": 3, "min_words": 40, "threshold": 0.6, "shown": displayed}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
