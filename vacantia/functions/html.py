@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that begin a new line when displayed.
@@ -42,10 +42,20 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
+def untagged(text: Column, block: str = "\n\n") -> Column:
+    """Block tags become `block`, other tags vanish."""
+    tagged = F.regexp_replace(F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^<>]*)?/?>", block), _ANY_TAG, "")
+    return F.when(text.contains("<"), tagged).otherwise(text)
+
+
 def displayed(text: Column, block: str = "\n\n") -> Column:
     """What a reader sees. Block tags become `block`, other tags vanish; null stays null."""
-    tagged = F.regexp_replace(F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^<>]*)?/?>", block), _ANY_TAG, "")
-    return decode_entities(F.when(text.contains("<"), tagged).otherwise(text))
+    return decode_entities(untagged(text, block))
+
+
+def with_displayed(df: DataFrame, name: str, block: str = "\n\n") -> DataFrame:
+    """Column `name` as displayed, in steps of one projection each, so that no step is evaluated twice a row."""
+    return df.withColumn(name, untagged(F.col(name), block)).withColumn(name, decode_entities(F.col(name)))
 
 
 def letters_digits(text: Column) -> Column:
