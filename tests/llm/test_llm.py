@@ -23,8 +23,8 @@ def test_language(spark):
     de, en = "Wir suchen eine Person für die Buchhaltung und den Vertrieb.", "We are looking for a person to keep the books and the sales."
     texts = [(1, de + "\n\n" + en + " " + en), (2, f"<p>{en}</p><div>{en} Grüße aus Köln</div>"), (3, None), (4, ""), (5, "N/A"), (6, (de + " ") * 2000), (7, "<p></p>")]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in texts], "id long, text string, lang int, parts string")
-    train = spark.createDataFrame([("de", de), ("en", en), (None, "x"), ("en", None)], "code string, text string")
-    got = {r["id"]: r for r in language.identify(df, language.train(train)).collect()}
+    train = spark.createDataFrame([(1, "de", de), (2, "en", en), (3, None, "x"), (4, "en", None)], "id long, code string, text string")
+    got = {r["id"]: r for r in language.identify(language.paragraphs(df), language.train(language.paragraphs(train))).collect()}
     assert set(got) == {1, 2, 6} and got[1]["langs"] == ["de", "en"] and got[1]["lang"] == "en" and got[2]["langs"] == ["en", "en"] and got[6]["lang"] == "de"
     labels = spark.createDataFrame([(x,) for x in ("English", "en_GB", "deu", "xx", " ", None)], "x string").select(language.label_code(F.col("x")).alias("c"))
     assert [r["c"] for r in labels.collect()] == ["en", "en", "de", None, None, None]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions.html import displayed
+from vacantia.functions.html import with_displayed
 from vacantia.session import settle
 
 LANGS = ("de", "en", "es", "fr", "nl", "pt")
@@ -33,17 +33,10 @@ LABELS = {
     "nl": ("nld", "dut", "dutch", "nederlands"),
     "pt": ("por", "portuguese", "português", "portugues"),
 }
-#: Common words, so that a language with few labelled rows is not without any evidence.
-COMMON = {
-    "de": "der die das und ist nicht ein eine für mit auf den dem von zu im wir sie werden bei durch oder aber auch nach über unser ihre sehr",
-    "en": "the of and to in is that for it with as on be at by this have from or an are not we you your our will which their was has can",
-    "es": "el la de que y en los del se las por un para con no una su al lo como más pero sus le ya este nuestro usted serás tendrás",
-    "fr": "le la les de des et en un une du que pour dans est qui sur pas au avec par plus ce nous vous votre notre sont aux être cette",
-    "nl": "de het een en van in is dat op te met voor zijn niet aan er om ook als bij maar dan je wij onze jouw naar uit worden deze",
-    "pt": "o a de que e do da em um para com não uma os no se na por mais as dos como mas ao ele das você nossa sua seu pelo até são",
-}
 #: Texts that stand for nothing.
 NOTHING = ("", "n/a", "na", "none", "null", "nil", "tbd", "tba", "-", "--", "unknown", "?", "...", "…")
+#: Characters that count as blank at the ends of a paragraph.
+BLANKS = " \t\n\x0b\f\r\u00a0"
 #: Log-odds a paragraph needs to depart from the rest of its document.
 DEPART = 6.0
 
@@ -56,16 +49,15 @@ def label_code(label: Column) -> Column:
     return names[F.lower(F.regexp_extract(F.trim(label), r"^(\p{L}+)(?:[-_]\p{L}{2,4})?$", 1))]
 
 
-def paragraphs(text: Column) -> Column:
-    """Non-empty texts between blank lines or block tags, in order; none for a text that stands for nothing."""
-    shown = displayed(F.regexp_replace(text, r"\r\n?", "\n"))
-    parts = F.transform(F.split(shown, r"\n[\s ]*\n"), lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))
-    parts = F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.when((F.size(parts) == 1) & F.lower(F.get(parts, F.lit(0))).isin(*NOTHING), F.array().cast("array<string>")).otherwise(parts)
+def paragraphs(texts: DataFrame, name: str = "text") -> DataFrame:
+    """Adds parts: the non-empty texts of column `name` between blank lines or block tags, in order; null for null."""
+    shown = with_displayed(texts.withColumn("parts", F.regexp_replace(name, r"\r\n?", "\n")), "parts")
+    parts = F.transform(F.split("parts", r"\n[\s\u00a0]*\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    return shown.withColumn("parts", F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]")))
 
 
-def grams(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Hashed n-grams of runs of texts: which texts, the bucket of each gram, and the text it belongs to.
+def grams(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Hashed n-grams of runs of texts: which texts, and per order the bucket of each gram and the text it belongs to, in order.
 
     Runs hold about `chars` characters; a longer text is a run by itself, and goes in whole.
     """
@@ -86,7 +78,7 @@ def grams(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[slice, np.nd
         keep[1:] = ~((codes[1:] == 32) & (codes[:-1] == 32))
         codes, owner, sep = codes[keep], owner[keep], sep[keep]
         upto = np.concatenate(([0], np.cumsum(sep)))
-        found, of = [], []
+        found = []
         h = np.zeros(len(codes), dtype=np.uint64)
         for n in range(1, max(ORDERS) + 1):
             if len(codes) < n:
@@ -98,16 +90,16 @@ def grams(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[slice, np.nd
                 ok = (upto[n:] - upto[:m]) == 0
                 if n == 1:
                     ok &= codes != 32
-                found.append((h[ok] >> np.uint64(17)) & np.uint64(BUCKETS - 1))
-                of.append(owner[:m][ok])
-        yield slice(start, stop), np.concatenate(found).astype(np.int64), np.concatenate(of)
+                found.append((((h[ok] >> np.uint64(17)) & np.uint64(BUCKETS - 1)).astype(np.int64), owner[:m][ok]))
+        yield slice(start, stop), found
         start = stop
 
 
 def count_grams(texts: list[str], langs: np.ndarray) -> np.ndarray:
     out = np.zeros(len(LANGS) * BUCKETS, dtype=np.int64)
-    for run, bucket, owner in grams(texts):
-        out += np.bincount(langs[run][owner] * BUCKETS + bucket, minlength=len(out))
+    for run, found in grams(texts):
+        for bucket, owner in found:
+            out += np.bincount(langs[run][owner] * BUCKETS + bucket, minlength=len(out))
     return out.reshape(len(LANGS), BUCKETS)
 
 
@@ -117,28 +109,33 @@ def log_probabilities(counts: np.ndarray, smoothing: float = 0.05) -> np.ndarray
 
 
 def score(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-probabilities, texts x languages, over the orders' mean, and the number of letters."""
+    """Summed log-probabilities, texts x languages, over the orders' mean, and the number of letters.
+
+    matrix has a row a bucket, so that a gram costs one look-up for all languages.
+    """
     total, size = np.zeros((len(texts), len(LANGS))), np.zeros(len(texts))
-    for run, bucket, owner in grams(texts):
-        n = run.stop - run.start
-        for k in range(len(LANGS)):
-            total[run, k] = np.bincount(owner, weights=matrix[k][bucket], minlength=n)
-        size[run] = np.bincount(owner, minlength=n)
+    for run, found in grams(texts):
+        for bucket, owner in found:
+            if len(owner):
+                first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
+                total[run.start + owner[first]] += np.add.reduceat(matrix[bucket], first, axis=0, dtype=np.float64)
+                size[run] += np.bincount(owner, minlength=run.stop - run.start)
     return total / len(ORDERS), size / len(ORDERS)
 
 
-def seed_counts(weight: int = 3) -> np.ndarray:
-    return weight * count_grams([COMMON[x] for x in LANGS], np.arange(len(LANGS)))
-
-
 def train(labelled: DataFrame, sample_rows: int = 20_000) -> np.ndarray:
-    """(code, text) to the matrix. At most about sample_rows rows are used, chosen by hash of the text."""
+    """(id, code, parts) to the matrix, a row a bucket. At most about sample_rows rows are used, chosen by hash of the id.
+
+    Copies of one text are chosen or not each by itself, so that a hot group of copies keeps its
+    share and the bound holds.
+    """
     spark = labelled.sparkSession
-    labelled = labelled.filter(F.col("code").isNotNull() & (F.length("text") > 0))
+    labelled = labelled.filter("code is not null and size(parts) > 0")
     total = labelled.count()
     share = min(1.0, sample_rows / max(total, 1))
-    part = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
-    part = settle(part.select(F.array_position(F.array(*map(F.lit, LANGS)), F.col("code")).cast("int").alias("k"), "text").coalesce(8), "language-sample")
+    part = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
+    part = part.select(F.array_position(F.array(*map(F.lit, LANGS)), F.col("code")).cast("int").alias("k"), F.array_join("parts", " ").alias("text"))
+    part = settle(part.coalesce(8), "language-sample")
 
     def counted(matrix):
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,21 +155,22 @@ def train(labelled: DataFrame, sample_rows: int = 20_000) -> np.ndarray:
     for _ in range(2):
         # at most eight rows of 1.5 MB reach the driver
         rows = part.mapInPandas(counted(matrix), "m binary").collect()
-        counts = seed_counts() + sum((np.frombuffer(r["m"], dtype=np.int32).reshape(len(LANGS), BUCKETS).astype(np.int64) for r in rows), np.zeros((len(LANGS), BUCKETS), dtype=np.int64))
-        matrix = spark.sparkContext.broadcast(log_probabilities(counts))
+        counts = sum((np.frombuffer(r["m"], dtype=np.int32).reshape(len(LANGS), BUCKETS).astype(np.int64) for r in rows), np.zeros((len(LANGS), BUCKETS), dtype=np.int64))
+        matrix = spark.sparkContext.broadcast(np.ascontiguousarray(log_probabilities(counts).T))
     return matrix.value
 
 
 def identify(texts: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """(id, text) to (id, parts): the document's language, and an array of (seg_no, lang, confidence) per paragraph."""
+    """(id, parts) to one row a text: its language with a confidence, and arrays of the same per paragraph. Other columns are kept out."""
     shared = texts.sparkSession.sparkContext.broadcast(matrix)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             flat, owner = [], []
             for i, parts in enumerate(pdf["parts"]):
-                flat.extend(parts)
-                owner.extend([i] * len(parts))
+                if len(parts) != 1 or parts[0].lower() not in NOTHING:
+                    flat.extend(parts)
+                    owner.extend([i] * len(parts))
             if not flat:
                 continue
             owner = np.array(owner)
@@ -200,5 +198,4 @@ def identify(texts: DataFrame, matrix: np.ndarray) -> DataFrame:
                 }
             )
 
-    parts = texts.select("id", paragraphs(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
-    return parts.mapInPandas(read, "id long, lang string, confidence double, langs array<string>, sure array<double>")
+    return texts.filter("size(parts) > 0").select("id", "parts").mapInPandas(read, "id long, lang string, confidence double, langs array<string>, sure array<double>")

@@ -45,11 +45,12 @@ TOGETHER = 12
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _DOC, _KEYS, _EDGE = b"d", b"k", b"e"
-Shown = Callable[[Column], Column]
+#: Makes body what a reader sees.
+Shown = Callable[[DataFrame], DataFrame]
 
 
-def _as_is(text: Column) -> Column:
-    return text
+def _as_is(texts: DataFrame) -> DataFrame:
+    return texts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -286,7 +287,7 @@ def shingled(texts: DataFrame, width: int, min_words: int, shown: Shown = _as_is
                 found, own = shingle_sets(pdf["head"].tolist(), pdf["body"].tolist(), width, min_words, letters.value), pdf["id"].to_numpy()
                 yield pd.DataFrame({"rep": own[list(found)] if found else np.empty(0, dtype=np.int64), "shingles": list(found.values())})
 
-    return texts.select("id", "head", shown(F.col("body")).alias("body")).mapInPandas(read, "rep long, shingles array<bigint>")
+    return shown(texts.select("id", "head", "body")).mapInPandas(read, "rep long, shingles array<bigint>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -306,14 +307,14 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, min
 def link(texts: DataFrame, threshold: float, width: int = 3, min_words: int = 1, shown: Shown = _as_is) -> tuple[DataFrame, DataFrame]:
     """(id, head, body) to members (id, rep) and links (a, b, similarity) between representatives, a < b.
 
-    shown makes the words' text of body; it is applied where texts are read, so that it never runs
+    shown is applied where texts are read, so that it never runs
     on rows that a later step leaves out.
     """
     texts = texts.select("id", "head", "body")
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * BANDS // KEYS_A_TASK))
     letters = spark.sparkContext.broadcast(word_characters())  # 1.1 MB, fixed
-    rows = texts.select("id", "head", shown(F.col("body")).alias("body")).mapInPandas(_sketched(width, min_words, tasks, letters), "part int, id long, cell binary")
+    rows = shown(texts.select("id", "head", "body")).mapInPandas(_sketched(width, min_words, tasks, letters), "part int, id long, cell binary")
     found = settle(rows.repartition(tasks, "part").mapInPandas(_linked, _LINKED), "sketches")
     docs = found.filter("a is null").select(F.col("b").alias("id"), "s1", "s2", "size", *MASKS)
     names = docs.groupBy("s1", "s2").agg(F.min("id").alias("rep"))

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.functions.html import displayed
+from vacantia.functions.html import with_displayed
 from vacantia.llm import canonical, language, lookalike, neardup, packing, survivor, tokens
 from vacantia.session import settle, table
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    jobs = table(spark, d, "jobs").select("id", "language", "description")
-    code = language.label_code(F.col("language"))
-    shown = F.array_join(language.paragraphs(F.col("description")), " ")
-    matrix = language.train(jobs.select(code.alias("code"), shown.alias("text")))
-    found = language.identify(jobs.select("id", F.col("description").alias("text")), matrix)
-    return found.join(jobs.select("id", code.alias("stored")), "id")
+    jobs = table(spark, d, "jobs").select("id", language.label_code(F.col("language")).alias("code"), "description")
+    # read by the count, the sample and the scoring: the texts are displayed and cut once
+    cut = settle(language.paragraphs(jobs, "description").select("id", "code", "parts"), "paragraphs")
+    found = language.identify(cut, language.train(cut))
+    return found.join(cut.select("id", F.col("code").alias("stored")), "id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +39,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Words to a sequence, words that a description needs, and the similarity asked for.
-_P3 = {"width": 3, "min_words": 40, "threshold": 0.6, "shown": displayed}
+_P3 = {"width": 3, "min_words": 40, "threshold": 0.6, "shown": lambda texts: with_displayed(texts, "body")}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
