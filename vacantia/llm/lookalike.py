@@ -30,18 +30,27 @@ LATIN = "a c e o p s x y i j h d q w v n u g l A B C E H I J K M N O P S T X Y Z
 ALIKE = {
     "cyrillic": "а с е о р ѕ х у і ј һ ԁ ԛ ԝ ѵ . . . ӏ А В С Е Н І Ј К М . О Р Ѕ Т Х Ү . . Ԍ Ѵ",
     "greek": "α . . ο ρ . . . ι ϳ . . . . ν . υ . . Α Β Ϲ Ε Η Ι . Κ Μ Ν Ο Ρ . Τ Χ Υ Ζ Ϝ . .",
-    "armenian": "ɑ . . օ . ѕ . . . յ հ ԁ զ . . ո ս ց . . . . . . . . . . . Օ . Տ . . . . . . .",
+    "armenian": "\u0251 . . օ . ѕ . . . յ հ ԁ զ . . ո ս ց . . . . . . . . . . . Օ . Տ . . . . . . .",
 }
 #: Armenian look-alikes that are plain enough to count; the rest of that row is left out of the classes.
 ARMENIAN_USED = "օհոսցՕՏ"
 #: Further single characters drawn alike.
-SAME_LOOK = {"‐": "-", "‑": "-", "µ": "μ", "K": "K", "Å": "Å", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m"}
+SAME_LOOK = {
+    "‐": "-", "‑": "-", "µ": "μ", "\u212a": "K", "\u212b": "Å", "\u0261": "g", "\u0251": "a",
+    "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
+}
 _SWITCH = -12.0
-_WORD = re.compile(r"[^\W\d_][\ẁ-ͯ]*")
-_IGNORED = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠎​‌‎‏‪-‮⁠-⁤⁦-⁯︀-︎﻿￹-￻]")
-_SPACES = re.compile(r"[   -   　]")
-_JOINER = re.compile(r"(?<![☀-➿️\U0001f000-\U0001faff])‍|‍(?![☀-➿♀♂\U0001f000-\U0001faff])")
-_WIDTH = re.compile(r"[！-￮ﬀ-ﬆ]+")
+_MARKS = r"\u0300-\u036f"
+_WORD = re.compile(rf"[^\W\d_][\w{_MARKS}]*")
+_IGNORED = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0e\ufeff\ufff9-\ufffb"
+_SPACES = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_PICTURE = r"☀-➿\U0001f000-\U0001faff"
+_JOINER = re.compile(rf"(?<![{_PICTURE}\ufe0f])\u200d|\u200d(?![{_PICTURE}])")
+_WIDTH = re.compile(r"[\uff01-\uffeeﬀ-ﬆ]+")
+_SPECIAL = re.compile(rf"[{_IGNORED}{_SPACES}\u200d\uff01-\uffeeﬀ-ﬆ‐‑µ\u212a\u212b\u0261\u0251ⅼⅰⅴⅹⅽ-ⅿ]")
+_IGNORED, _SPACES = re.compile(f"[{_IGNORED}]"), re.compile(f"[{_SPACES}]")
+#: Letters of scripts other than Latin that may stand in a word.
+_OTHER = re.compile(r"[Ͱ-֏ἀ-\u1fff]")
 
 
 def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
@@ -56,6 +65,9 @@ def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
 
 
 LOOK, FORMS = _classes()
+_LOOK, _SAME = str.maketrans(LOOK), str.maketrans(SAME_LOOK)
+#: Words of classes alone: only these, and words with a letter of another script, may be anything but Latin.
+_OPEN_WORD = re.compile(rf"(?<![\w{_MARKS}])[{''.join(FORMS)}][{''.join(FORMS)}\d_{_MARKS}]*(?![\w{_MARKS}])")
 
 
 def script_of(char: str) -> str | None:
@@ -71,14 +83,17 @@ def script_of(char: str) -> str | None:
 
 def visible(text: str) -> str:
     """What is invisible folded away; letters kept as they are. Canonically decomposed."""
-    text = _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    text = _SPACES.sub(" ", _JOINER.sub("", _IGNORED.sub("", text)))
-    return unicodedata.normalize("NFD", "".join(SAME_LOOK.get(c, c) for c in text) if not text.isascii() else text)
+    if text.isascii():
+        return text
+    if _SPECIAL.search(text):
+        text = _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+        text = _SPACES.sub(" ", _JOINER.sub("", _IGNORED.sub("", text))).translate(_SAME)
+    return unicodedata.normalize("NFD", text)
 
 
-def look(word: str) -> str:
-    """A decomposed word with each letter as its class."""
-    return "".join(LOOK.get(c, c) for c in word)
+def look(text: str) -> str:
+    """A decomposed text with each letter as its class."""
+    return text if text.isascii() else text.translate(_LOOK)
 
 
 def resolve(shape: str, scores: dict[tuple[str, str], float]) -> str:
@@ -108,16 +123,51 @@ def resolve(shape: str, scores: dict[tuple[str, str], float]) -> str:
 
 
 def canonical(text: str, scores: dict[tuple[str, str], float], known: dict[str, str]) -> str:
-    """The consistent form of a text; known caches resolved shapes."""
+    """The consistent form of a text, which follows from its shape alone; known caches resolved words."""
 
     def one(m: re.Match) -> str:
-        shape = look(m[0])
-        found = known.get(shape)
+        word = m[0]
+        found = known.get(word)
         if found is None:
-            found = known[shape] = resolve(shape, scores)
+            found = known[word] = resolve(word, scores)
         return found
 
-    return unicodedata.normalize("NFC", _WORD.sub(one, visible(text)))
+    shape = look(visible(text))
+    out = (_OPEN_WORD if shape.isascii() or not _OTHER.search(shape) else _WORD).sub(one, shape)
+    return out if out.isascii() else unicodedata.normalize("NFC", out)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point below U+10000: the bit of its script, 0 what ends a word, 255 what is in words but no letter of SCRIPTS; and a dense number of each such letter, from 1."""
+    kind = np.zeros(1 << 16, dtype=np.uint8)
+    for code in range(1 << 16):
+        char = chr(code)
+        if char.isalnum() or char == "_" or 0x300 <= code < 0x370:
+            script = script_of(char) if char.isalpha() else None
+            kind[code] = 1 << SCRIPTS.index(script) if script else 255
+    letter = (kind > 0) & (kind < 255)
+    return kind, np.where(letter, np.cumsum(letter), 0)
+
+
+KINDS, LETTERS = _kinds()
+
+
+def letter_pairs(texts: list[str]) -> np.ndarray:
+    """Counts of pairs of neighbouring letters in words of a single script, as numbers of LETTERS; 0 is the start of a word."""
+    n = int(LETTERS.max()) + 1
+    codes = np.minimum(np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
+    kind = KINDS[codes]
+    word = np.cumsum(kind == 0)
+    letter = (kind > 0) & (kind < 255)
+    code, word, kind = LETTERS[codes[letter]], word[letter], kind[letter]
+    if not len(code):
+        return np.zeros((n, n), dtype=np.int64)
+    new = np.concatenate(([True], word[1:] != word[:-1]))
+    begins = np.flatnonzero(new)
+    scripts = np.bitwise_or.reduceat(kind, begins)
+    single = np.repeat((scripts & (scripts - 1)) == 0, np.diff(np.concatenate((begins, [len(code)]))))
+    before = np.where(new, 0, np.concatenate(([0], code[:-1])))
+    return np.bincount((before * n + code)[single], minlength=n * n).reshape(n, n)
 
 
 def learn(texts: DataFrame) -> dict[tuple[str, str], float]:
@@ -127,31 +177,50 @@ def learn(texts: DataFrame) -> dict[tuple[str, str], float]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: Counter = Counter()
-        words: Counter = Counter()
-
-        def flush() -> None:
-            for word, n in words.items():
-                letters = [c for c in word if script_of(c)]
-                if len({script_of(c) for c in letters}) == 1:
-                    for a, b in zip(["^", *letters], letters):
-                        pairs[a + b] += n
-            words.clear()
-
+        total, held, size = 0, [], 0
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
-                    words.update(_WORD.findall(visible(text)))
-            if len(words) > 200_000:
-                flush()
-        flush()
-        yield pd.DataFrame({"pair": list(pairs.keys()), "n": np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))})
-
-    rows = texts.select("text").filter("text is not null").mapInPandas(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+                    held.append(visible(text))
+                    size += len(text)
+                    if size > 1 << 21:
+                        total, held, size = total + letter_pairs(held), [], 0
+        total = total + letter_pairs(held)
+        a, b = np.nonzero(total)
+        yield pd.DataFrame({"a": a, "b": b, "n": total[a, b]})
+
+    rows = texts.select("text").filter("text is not null").mapInPandas(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    char = {int(LETTERS[c]): chr(c) for c in np.flatnonzero(LETTERS)} | {0: "^"}
     totals: Counter = Counter()
     for r in rows:
-        totals[r["pair"][0]] += r["n"]
-    return {(r["pair"][0], r["pair"][1]): float(np.log((r["n"] + 0.1) / (totals[r["pair"][0]] + 50))) for r in rows}
+        totals[r["a"]] += r["n"]
+    return {(char[r["a"]], char[r["b"]]): float(np.log((r["n"] + 0.1) / (totals[r["a"]] + 50))) for r in rows}
+
+
+def restored(texts: DataFrame, scores: dict[tuple[str, str], float]) -> DataFrame:
+    """(text) to (script, words, restored): how many words of a single script the search finds again from their looks alone."""
+    shared = texts.sparkSession.sparkContext.broadcast(scores)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter = Counter()
+        good: Counter = Counter()
+        known: dict[str, tuple[str, bool]] = {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                for word in _WORD.findall(visible(text)) if text else ():
+                    found = known.get(word)
+                    if found is None:
+                        scripts = {s for s in map(script_of, word) if s}
+                        shape = look(word)
+                        found = known[word] = (scripts.pop(), resolve(shape, shared.value) == word) if len(scripts) == 1 and any(c in FORMS for c in shape) else ("", False)
+                    words[found[0]] += 1
+                    good[found[0]] += found[1]
+            if len(known) > 500_000:
+                known.clear()
+        yield pd.DataFrame({"script": list(words), "words": pd.Series(list(words.values()), dtype="int64"), "restored": pd.Series([good[k] for k in words], dtype="int64")})
+
+    rows = texts.select("text").mapInPandas(read, "script string, words long, restored long").filter("script <> ''")
+    return rows.groupBy("script").agg(F.sum("words").alias("words"), F.sum("restored").alias("restored"), (F.sum("restored") / F.sum("words")).alias("share"))
 
 
 def _name(data: bytes) -> tuple[int, int]:

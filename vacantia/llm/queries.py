@@ -138,11 +138,25 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id").alias("doc_id_a"), "doc_id_b")
 
 
+def p10_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with visible text: the smallest id among those that look the same, and how many there are."""
+    docs = _documents(spark, d).filter("text is not null")
+    named = settle(lookalike.normalise(docs, lookalike.learn(docs), full=False), "looks")
+    classes = named.groupBy("c1", "c2").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("documents"))
+    return named.join(classes, ["c1", "c2"]).select(F.col("id").alias("doc_id"), "group_id", "documents")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """By script: words that hold look-alike letters, and how many of them the search finds again from their looks alone."""
+    docs = _documents(spark, d)
+    return lookalike.restored(docs, lookalike.learn(docs))
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     """Each document's text in its consistent form."""
     docs = _documents(spark, d)
     return lookalike.normalise(docs, lookalike.learn(docs)).select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p3_recall": p3_recall, "p2_found": p2_found, "p2_languages": p2_languages}
+QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_forms": p10_forms, "p10_groups": p10_groups, "p10_restored": p10_restored, "p6_found": p6_found, "p6_fused": p6_fused, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p3_recall": p3_recall, "p2_found": p2_found, "p2_languages": p2_languages}
 ORACLES: dict[str, str] = {**_P4_ORACLES, "p6_found": survivor.survivors_oracle()}
