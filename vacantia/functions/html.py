@@ -12,7 +12,7 @@ BLOCK_TAGS = (
 )
 #: Named character references that feeds use.
 ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "’", "lsquo": "‘", "ldquo": "“",
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "’", "lsquo": "‘", "ldquo": "“",
     "rdquo": "”", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•", "middot": "·", "euro": "€", "pound": "£",
 }
 _ANY_TAG = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>"

@@ -31,7 +31,7 @@ def word(pattern: str) -> str:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[\s   　﻿]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -39,7 +39,7 @@ def fold(texts: pd.Series) -> pd.Series:
     def one(t):
         if t is None or t.isascii():
             return t
-        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ")
+        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f")
         return unicodedata.normalize("NFC", bare)
 
     return texts.map(one, na_action="ignore")

@@ -71,7 +71,7 @@ def _items(text: Column, mode: Column) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[\s ​﻿]+|[\s ​﻿]+$", "")
+    return F.regexp_replace(x, r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", "")
 
 
 def _clean(raw: Column) -> Column:
@@ -109,12 +109,14 @@ def resolve_conjunctions(open_values: DataFrame, atoms: DataFrame) -> DataFrame:
     link = rf"(?i)\s+{CONJUNCTION}\s+"
     # one marked string of words and links in turn
     turns = F.split(F.regexp_replace(body, rf"(?i)\s+({CONJUNCTION})\s+", "\u0001$1\u0001"), "\u0001")
+    # a span longer than every known value cannot be one: its pieces bound the spans, whatever the data
+    longest = atoms.agg(F.coalesce(F.max(F.size(F.split("val", link))), F.lit(1)).alias("n")).first()["n"]
     words = open_values.select("val", body.alias("body"), F.split(body, link, -1).alias("words"), turns.alias("turns"), (F.col("val") != body).alias("led"))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size("words") - 1),
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.size("words") - i, F.lit(4))),
+                F.sequence(F.lit(1), F.least(F.size("words") - i, F.lit(longest))),
                 lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("turns", i * 2 + 1, n * 2 - 1), " ").alias("span")),
             ),
         )

@@ -6,7 +6,7 @@ source. The E- and M-steps run on counts per (feed, source, set of valid formats
 which is bounded by sources times sets of formats, never by rows.
 
 Defined results: null, blank, placeholder, open-ended ("30+ days ago") and impossible
-values get no instant; a wall time that a zone repeats is the earlier instant, one it
+values get no instant; a bare number is an epoch only within plausible years; a wall time that a zone repeats is the earlier instant, one it
 skips is read with the offset before the change; a value whose best format has a
 posterior under `threshold` is marked ambiguous and gets no instant.
 """
@@ -51,8 +51,9 @@ DAYS_AGO = r"(?:(?:hace|há|ha|vor|il y a)\s+(\d{1,4})\s+(?:días?|dias?|tage?n?
 OPEN_ENDED = r"\d\s*\+|más de|mas de|plus de|mehr als|more than|over \d|mais de|meer dan"
 MONTH_FIRST = ("en-US", "en-PH", "en-CA")
 DAY_US = 86_400_000_000
+#: Years between which a bare number is taken for an epoch; written dates may have any year from 1 to 9999.
 _FIRST_YEAR, _LAST_YEAR = 1971, 2099
-_SPACE = r"[\s   ]+"
+_SPACE = r"[\s\u00a0\u2007\u202f]+"
 
 _ZONE = r"(?:\s*(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5}|\[?[A-Z][A-Za-z]+(?:/[A-Za-z_+-]+){1,2}\]?|\[[A-Za-z]{2,5}\]))?"
 _TIME = r"(\d{1,2})[:h](\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([AaPp])\.?[Mm]\.?)?(?:\s+Uhr)?"
@@ -133,7 +134,7 @@ def parse_candidates(values: DataFrame) -> DataFrame:
 
     def wall(month: str, day: str) -> Column:
         text = F.format_string("%04d-%02d-%02d", F.col("y"), F.col(month), F.col(day))
-        real = F.col("y").between(_FIRST_YEAR, _LAST_YEAR) & F.col(month).between(1, 12) & F.col(day).between(1, 31)
+        real = F.col("y").between(1, 9999) & F.col(month).between(1, 12) & F.col(day).between(1, 31)
         return F.unix_date(F.when(real, F.try_to_date(text, "yyyy-MM-dd"))).cast("long") * DAY_US + time
 
     phrase = F.lower("v")
@@ -169,8 +170,8 @@ def parse_candidates(values: DataFrame) -> DataFrame:
     return df.select(*values.columns, F.filter(every, lambda x: x["utc_us"].isNotNull()).alias("c"))
 
 
-def mixture_posteriors(counts: pd.DataFrame, rounds: int = 50, smoothing: float = 0.5) -> pd.DataFrame:
-    """EM for one source: rows are sets of valid formats with their counts; returns the best format of each set."""
+def mixture_posteriors(counts: pd.DataFrame, rounds: int = 10_000, smoothing: float = 0.5) -> pd.DataFrame:
+    """EM for one source, to convergence: rows are sets of valid formats with their counts; returns the best format of each set."""
     sets = [s.split("|") for s in counts["formats"]]
     names = sorted({f for s in sets for f in s})
     valid = np.array([[f in s for f in names] for s in sets], dtype=float)
@@ -203,8 +204,8 @@ def normalise(values: DataFrame, threshold: float = 0.9) -> DataFrame:
     chosen = counts.groupBy("feed", "source_key").applyInPandas(
         lambda pdf: mixture_posteriors(pdf), "feed string, source_key string, formats string, best string, posterior double"
     )
-    # one row per source and set of formats: bounded by the sources table, not by the values
-    out = parsed.join(F.broadcast(chosen), ["feed", "source_key", "formats"], "left")
+    # one row per source and set of formats; boards count as sources, so no broadcast is forced
+    out = parsed.join(chosen, ["feed", "source_key", "formats"], "left")
     picked = F.get(F.filter("c", lambda x: x["format"] == F.col("best")), F.lit(0))["utc_us"]
     same = F.size(F.array_distinct(F.transform("c", lambda x: x["utc_us"]))) <= 1
     sure = (F.col("posterior") >= threshold) | same
@@ -215,5 +216,6 @@ def normalise(values: DataFrame, threshold: float = 0.9) -> DataFrame:
         F.col("best").alias("format"),
         F.when(sure, picked).alias("utc_us"),
         "posterior",
+        F.size("c").alias("readings"),
         F.when(F.col("best").isNull(), "none").when(sure, "instant").otherwise("ambiguous").alias("status"),
     )

@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine, where that is unset, one of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "vacantia-shared")
         sc.setCheckpointDir(found)
