@@ -119,7 +119,7 @@ def test_survivor_without_source(spark):
 
 @pytest.fixture(scope="module")
 def merges():
-    return tokens.Merges()
+    return tokens.Merges(*tokens.Merges.read())
 
 
 def test_tokens_equal_the_public_library(spark, merges):

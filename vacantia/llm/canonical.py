@@ -16,7 +16,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
-EDITS = 4
+EDITS = 5
 #: Wording around a typed skill, in front and behind.
 BEFORE = (
     "very good|good|excellent|strong|advanced|basic|solid|hands-on|experience with|experience in|knowledge of|knows|expert in|proficient in|"
@@ -59,20 +59,14 @@ def _squash(words: str) -> str:
     return f"replace({words}, ' ', '')"
 
 
-def _stems(words: str) -> str:
-    """The first four letters of each word but prepositions, sorted: equal for the same words in other orders and inflections."""
-    kept = _replace(words, r"\b(?:of|in|for|the|de|von) ", "")
-    return f"/*join*/(/*sort*/(/*split*/(trim({_replace(kept, r'(\p{L}{4})\p{L}+', '/*one*/')}), ' ')), ' ')"
-
-
 def spark_sql(sql: str) -> str:
-    for mark, name in ((" /*all*/", ""), ("/*one*/", "$1"), ("/*two*/", "$2 $1"), ("/*join*/", "array_join"), ("/*sort*/", "array_sort"), ("/*split*/", "split")):
+    for mark, name in ((" /*all*/", ""), ("/*two*/", "$2 $1")):
         sql = sql.replace(mark, name)
     return sql.replace("\\", "\\\\")
 
 
 def duckdb_sql(sql: str) -> str:
-    for mark, name in ((" /*all*/", ", 'g'"), ("/*one*/", "\\1"), ("/*two*/", "\\2 \\1"), ("/*join*/", "array_to_string"), ("/*sort*/", "list_sort"), ("/*split*/", "string_split")):
+    for mark, name in ((" /*all*/", ", 'g'"), ("/*two*/", "\\2 \\1")):
         sql = sql.replace(mark, name)
     return sql
 
@@ -88,27 +82,21 @@ def _sides(typed: str, reference: str) -> str:
     names AS (SELECT entry_id, {fold_sql("name")} AS words FROM {reference}),
     entries AS (SELECT DISTINCT entry_id, r, length(r) AS n FROM (
       SELECT entry_id, {_squash("words")} AS r FROM names UNION ALL
-      SELECT entry_id, {_squash(_replace("words", r"^(\S+) (\S+)$", "/*two*/"))} AS r FROM names) v WHERE r <> ''),
-    stems AS (SELECT {_stems("words")} AS stem, min(entry_id) AS entry_id FROM names WHERE words LIKE '% %' GROUP BY 1)"""
+      SELECT entry_id, {_squash(_replace("words", r"^(\S+) (\S+)$", "/*two*/"))} AS r FROM names) v WHERE r <> '')"""
 
 
 _CLOSER = "((instr(t, '#') > 0) <> (instr(r, '#') > 0))"
 
 
 def _final(best: str) -> str:
-    return f"""
-    SELECT value, coalesce(b.entry_id, s.entry_id, -1) AS entry_id
-    FROM typed LEFT JOIN {best} b ON folded = b.t LEFT JOIN stems s ON b.t IS NULL AND words LIKE '% %' AND {_stems("words")} = s.stem"""
+    return f"SELECT value, coalesce(b.entry_id, -1) AS entry_id FROM typed LEFT JOIN {best} b ON folded = b.t"
 
 
 def match(typed: DataFrame, reference: DataFrame, edits: int = EDITS) -> DataFrame:
     """typed (value), distinct, against reference (entry_id, name): one row per non-blank value with entry_id or -1."""
-    spark = typed.sparkSession
-    typed.createOrReplaceTempView("canonical_typed")
-    reference.createOrReplaceTempView("canonical_reference")
     # at most a third of the entry may differ, so that short entries don't take in everything
     sql = f"""
-    WITH {_sides("canonical_typed", "canonical_reference")},
+    WITH {_sides("TYPED", "REFERENCE")},
     texts AS (SELECT DISTINCT folded AS t, length(folded) AS m FROM typed WHERE folded <> ''),
     parts AS (SELECT entry_id, r, n, seg, CAST(floor(seg * n / {edits + 1}) AS INT) AS at, CAST(floor((seg + 1) * n / {edits + 1}) AS INT) - CAST(floor(seg * n / {edits + 1}) AS INT) AS len
       FROM entries LATERAL VIEW explode(sequence(0, {edits})) s AS seg),
@@ -120,7 +108,9 @@ def match(typed: DataFrame, reference: DataFrame, edits: int = EDITS) -> DataFra
     verified AS (SELECT t, entry_id, r, levenshtein(t, r) AS d FROM candidates),
     best AS (SELECT t, min(struct(d, {_CLOSER} AS marks, length(r) AS n, entry_id)).entry_id AS entry_id FROM verified WHERE d <= least({edits}, length(r) / 3) GROUP BY t)
     {_final("best")}"""
-    return spark.sql(spark_sql(sql))
+    # braces of the patterns are doubled, as the frames come in by name
+    text = spark_sql(sql).replace("{", "{{").replace("}", "}}").replace("TYPED", "{typed}").replace("REFERENCE", "{reference}")
+    return typed.sparkSession.sql(text, typed=typed, reference=reference)
 
 
 def match_oracle(typed_sql: str, reference_sql: str, edits: int = EDITS) -> str:

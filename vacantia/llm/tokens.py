@@ -34,7 +34,12 @@ def byte_letters() -> list[str]:
 class Merges:
     """Sorted pair keys with their ranks and results, and the symbol of each byte."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray, results: np.ndarray, bytes_: np.ndarray):
+        self.keys, self.ranks, self.results, self.bytes = keys, ranks, results, bytes_
+
+    @staticmethod
+    def read(path: str = VOCABULARY) -> tuple[np.ndarray, ...]:
+        """The four arrays, which unlike this class can be broadcast to workers that lack the package."""
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ids = model["vocab"]
@@ -43,9 +48,8 @@ class Merges:
         right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
         key = (left << 20) | right
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks = key[order], order.astype(np.int64)
-        self.results = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)[order]
-        self.bytes = np.array([ids[c] for c in byte_letters()], dtype=np.int64)
+        results = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)[order]
+        return key[order], order.astype(np.int64), results, np.array([ids[c] for c in byte_letters()], dtype=np.int64)
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty word."""
@@ -106,10 +110,10 @@ def encoder(merges: Merges, keep_words: int = 1 << 18):
 
 def encoded(texts: DataFrame, path: str = VOCABULARY, count_only: bool = False) -> DataFrame:
     """(id, text) to (id, ids), or to (id, n_tokens)."""
-    shared = texts.sparkSession.sparkContext.broadcast(Merges(path))  # some 2 MB, fixed by the vocabulary
+    shared = texts.sparkSession.sparkContext.broadcast(Merges.read(path))  # some 2 MB, fixed by the vocabulary
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode = encoder(Merges(*shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
