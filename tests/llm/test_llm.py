@@ -117,6 +117,23 @@ def test_survivor_without_source(spark):
     assert {(r["group_id"], r["field"]) for r in fused} == set(want) and all(r["posterior"] is not None for r in fused)
 
 
+def test_fusion_outvotes_copiers(spark):
+    """Three honest sources of accuracy 0.8 against one of 0.4 that two others copy: a plain vote is often wrong, the fused one is not."""
+    rng = random.Random(11)
+    votes, plain, truth = [], {}, {}
+    for g in range(400):
+        truth[g] = 0
+        said = [0 if rng.random() < 0.8 else rng.randrange(1, 20) for _ in range(3)]
+        bad = 0 if rng.random() < 0.4 else rng.randrange(1, 20)
+        said += [bad, *[bad if rng.random() < 0.9 else rng.randrange(1, 20) for _ in range(2)]]
+        votes += [(g, "f", v, s) for s, v in enumerate(said)]
+        plain[g] = max(sorted(set(said)), key=lambda v: (said.count(v), v))
+    df = spark.createDataFrame(votes, "group_id long, field string, vote long, source_id long")
+    best = {r["group_id"]: r["vote"] for r in survivor.fuse(df).groupBy("group_id").agg(F.max_by("vote", "posterior").alias("vote")).collect()}
+    right, by_count = (sum(x[g] == 0 for g in truth) for x in (best, plain))
+    assert right > 340 and right > by_count + 40, (right, by_count)
+
+
 @pytest.fixture(scope="module")
 def merges():
     return tokens.Merges(*tokens.Merges.read())
