@@ -26,42 +26,54 @@ from vacantia.session import settle
 OPEN_WINDOWS = 256
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, windows: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Window number of each item in order of arrival, and the fill of the windows still open."""
-    room: list[tuple[int, int]] = []  # (room left, window), sorted
-    fill: dict[int, int] = {}
-    out = np.empty(len(sizes), dtype=np.int64)
-    following = 0
-    for i, size in enumerate(sizes):
-        k = bisect.bisect_left(room, (size, -1))
-        if k < len(room):
-            left, w = room.pop(k)
-        else:
-            if len(room) >= windows:
-                del fill[room.pop(0)[1]]  # the fullest is emitted
-            left, w = capacity, following
-            following += 1
-            fill[w] = 0
-        out[i] = w
-        fill[w] += int(size)
-        if left > size or size == 0:
-            bisect.insort(room, (left - size, w))
-        else:
-            del fill[w]
-    return out, fill
-
-
-def _place(capacity: int, windows: int, largest_first: bool):
+class Packer:
+    """Best fit into a bounded number of open windows."""
+
+    def __init__(self, capacity: int, windows: int):
+        self.capacity, self.windows = capacity, windows
+        self.room: list[tuple[int, int]] = []  # (room left, window) of the open ones, sorted
+        self.following = 0
+
+    def add(self, sizes: np.ndarray) -> np.ndarray:
+        """The window of each item, in order of arrival."""
+        out = np.empty(len(sizes), dtype=np.int64)
+        room = self.room
+        for i, size in enumerate(sizes.tolist()):
+            k = bisect.bisect_left(room, (size, -1))
+            if k < len(room):
+                left, w = room.pop(k)
+            else:
+                if len(room) >= self.windows:
+                    room.pop(0)  # the fullest is emitted
+                left, w = self.capacity, self.following
+                self.following += 1
+            out[i] = w
+            if left > size or size == 0:
+                bisect.insort(room, (left - size, w))
+        return out
+
+
+def _stream(capacity: int, windows: int):
+    """Items to windows, batch by batch; at the end one row without an item for each window still open."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, packer = TaskContext.get().partitionId() << 36, Packer(capacity, windows)
+        for pdf in batches:
+            yield pdf.assign(window=base + packer.add(pdf["size"].to_numpy()))
+        left = [base + w for _, w in packer.room]
+        yield pd.DataFrame({"item": pd.array([None] * len(left), dtype="Int64"), "part": 0, "size": 0, "window": left})
+
+    return place
+
+
+def _merge(capacity: int):
+    """The items of one task, largest first, all windows open."""
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 36
-        items = [pdf for pdf in batches if len(pdf)]
-        if not items:
-            return
-        pdf = pd.concat(items, ignore_index=True)
-        if largest_first:
-            pdf = pdf.sort_values(["size", "item", "part"], ascending=[False, True, True], ignore_index=True)
-        at, open_ = pack_sizes(pdf["size"].to_numpy(), capacity, windows)
-        yield pd.DataFrame({"item": pdf["item"], "part": pdf["part"], "size": pdf["size"], "window": base + at, "open": np.isin(at, list(open_))})
+        base, items = TaskContext.get().partitionId() << 36, [pdf for pdf in batches if len(pdf)]
+        if items:
+            pdf = pd.concat(items, ignore_index=True).sort_values(["size", "item", "part"], ascending=[False, True, True], ignore_index=True)
+            yield pdf.assign(window=(1 << 60) + base + Packer(capacity, 1 << 30).add(pdf["size"].to_numpy()))
 
     return place
 
@@ -69,7 +81,8 @@ def _place(capacity: int, windows: int, largest_first: bool):
 def packed(items: DataFrame, capacity: int = 2048, windows: int = OPEN_WINDOWS, merge_rows: int = 200_000) -> DataFrame:
     """(id, size) to (id, part, size, container): one row per item, or per piece of an item above the capacity.
 
-    A partition holds three numbers an item; merge_rows bounds the left items merged in one task.
+    A task holds its open windows only. merge_rows is how many items of windows left open one task
+    packs again; it bounds that task's memory and leaves no item out.
     """
     size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long")
     sized = items.select(F.col("id").alias("item"), size.alias("size"))
@@ -77,11 +90,13 @@ def packed(items: DataFrame, capacity: int = 2048, windows: int = OPEN_WINDOWS,
     cut = sized.filter(F.col("size") > capacity)
     cut = cut.select("item", F.posexplode(F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))).alias("part", "size"))
     whole = sized.filter(F.col("size") <= capacity).select("item", F.lit(0).alias("part"), "size")
-    schema = "item long, part int, size long, window long, open boolean"
-    first = settle(whole.unionByName(cut).mapInPandas(_place(capacity, windows, False), schema), "placed")
+    schema = "item long, part int, size long, window long"
+    first = settle(whole.unionByName(cut).mapInPandas(_stream(capacity, windows), schema), "placed")
 
-    left = first.filter("open").select("item", "part", "size")
+    open_ = first.filter("item is null").select("window")  # a bounded number a task
+    items = first.filter("item is not null")
+    left = settle(items.join(open_, "window", "left_semi").select("item", "part", "size"), "left")
     tasks = max(1, -(-left.count() // merge_rows))
-    merged = left.repartition(tasks, "item", "part").mapInPandas(_place(capacity, 1 << 30, True), schema)
-    both = first.filter("not open").select("item", "part", "size", "window").unionByName(merged.select("item", "part", "size", (F.col("window") + F.lit(1 << 60)).alias("window")))
+    merged = left.repartition(tasks, "item", "part").mapInPandas(_merge(capacity), schema)
+    both = items.join(open_, "window", "left_anti").select("item", "part", "size", "window").unionByName(merged)
     return both.select(F.col("item").alias("id"), "part", "size", F.col("window").alias("container"))
