@@ -20,13 +20,22 @@ def test_displayed(spark):
 
 def test_names(spark):
     assert one(spark, text.company, "Ámbar Labs, Inc.") == "ambar labs" and one(spark, text.title, "Senior Dév (m/f/d) [x] remote") == "senior dev"
-    assert one(spark, text.canonical_url, "https://www.Ex.com/a/?b=2&utm_source=x&a=1#f") == "https://ex.com/a?a=1&b=2" and one(spark, text.canonical_url, " not a url ") == "not a url"
-    assert one(spark, text.slug, "Node.js") == "nodejs"
+    assert one(spark, text.canonical_url, "https://www.Ex.com/a/?b=2&utm_source=x&a=1#f") == "https://ex.com/a/?a=1&b=2" and one(spark, text.canonical_url, " not a url ") == "not a url"
+    urls = {"https://ex.com/": "https://ex.com", "https://ex.com/a/": "https://ex.com/a", "https://ex.com/?a=1": "https://ex.com/?a=1", "https://ex.com/a?b=1&a=2&b=0": "https://ex.com/a?a=2&b=1&b=0", "https://ex.com/x?q=a/": "https://ex.com/x?q=a"}
+    assert {u: one(spark, text.canonical_url, u) for u in urls} == urls and one(spark, text.canonical_url, None) is None
+    assert one(spark, text.slug, "Node.js") == "nodejs" and one(spark, text.country_name, "MX") == "mexico" and one(spark, text.country_name, "México") == "mexico" and one(spark, text.country_name, "") is None
+    assert one(spark, text.skill_category, "Next.js") == "framework" and one(spark, text.skill_category, "Go") == "language" and one(spark, text.pay_period, "Hourly") == "hour" and one(spark, text.pay_period, None) == "year"
+    assert one(spark, text.website_domain, "www.Ex.com/a") == "ex.com" and one(spark, text.website_domain, "https://x y") is None
 
 
 def test_extraction(spark):
-    assert extract.pay_range("We pay $150 - 210K per year") == (150000.0, 210000.0, "USD", "year")
-    assert extract.pay_range("raised $5-10 million") is None and extract.pay_range(None) is None
+    pay = {
+        "We pay $150 - 210K per year": (150000.0, 210000.0, "USD", "year"), "raised $5-10 million": None, None: None, "": None, "5 - 10 years": None, "EUR 3.500 – 4.200 monthly": (3500.0, 4200.0, "EUR", "month"),
+        "60 to 80 USD": (60.0, 80.0, "USD", "hour"), "£90,000-£70,000": (70000.0, 90000.0, "GBP", "year"), "$1-2 million raised. Pay: $100k to $120k": (100000.0, 120000.0, "USD", "year"), "$0 - 10": None, "x" * 50_000: None,
+    }
+    found = extract.pay_in(spark.createDataFrame([(i, x, "clash") for i, x in enumerate(pay)], "id long, text string, low string"))
+    got = {r["id"]: (r["low"], r["high"], r["currency"], r["period"]) for r in found.collect()}
+    assert {x: got.get(i) for i, x in enumerate(pay)} == pay
     df = spark.createDataFrame([(1, "Requirements\nGo and Rust\nNice to have\nKotlin\nPerks\nfruit"), (2, None)], "id long, text string")
     assert {r["line"]: r["section"] for r in extract.sections(df).collect()}["Kotlin"] == "preferred"
     skills = spark.createDataFrame([("go", "Go"), ("kotlin", "Kotlin"), ("c", "C")], "slug string, name string")

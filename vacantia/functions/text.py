@@ -67,13 +67,19 @@ def slug(name: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """No fragment, www. or tracking parameter; parameters sorted; no slash at the end. What isn't a URL is only trimmed."""
+    """No fragment, www. or tracking parameter; parameters sorted by key, equal keys in their order; no slash at the end of the whole.
+
+    What isn't a URL is only trimmed. A slash before a query stays, but for the root alone.
+    """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), r"^www\.", "")
-    scheme, path = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_replace(F.regexp_extract(bare, r"^[^:]*://[^/?]*([^?]*)", 1), "/$", "")
+    scheme, path = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract(bare, r"^[^:]*://[^/?]*([^?]*)", 1)
     query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
-    kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING)))
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))).otherwise(F.trim(url))
+    own = F.filter(query, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
+    keyed = F.array_sort(F.transform(own, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))))
+    asked = F.when(F.size(own) > 0, F.concat(F.lit("?"), F.array_join(F.transform(keyed, lambda x: x["p"]), "&"))).otherwise("")
+    whole = F.concat(scheme, F.lit("://"), host, F.when((path == "") & (asked != ""), "/").otherwise(path), asked)
+    return F.when(host != "", F.regexp_replace(whole, "/$", "")).otherwise(F.trim(url))
 
 
 def _ladder(text: Column, steps: tuple[tuple[str, str], ...], default: Column) -> Column:
@@ -92,16 +98,63 @@ def employment(normal: Column) -> Column:
     return _ladder(normal, EMPLOYMENT, F.lit("unknown"))
 
 
+#: Words of the ways to work.
+MODE_WORDS = {"hybrid": "hybrid|hibrido", "remote": "remote|remoto|work from home|wfh|distributed", "wholly": "remote first|fully remote", "office": "on[- ]?site|in[- ]?office", "onsite": "presencial"}
+
+
 def work_mode(normal: Column) -> Column:
-    """Hybrid before remote before on site; remote with office words is hybrid unless it is remote all through."""
-    office = normal.rlike(word("on[- ]?site|in[- ]?office"))
-    wholly = normal.rlike(word("remote first|fully remote"))
-    remote = normal.rlike(word("remote|remoto|work from home|wfh|distributed"))
-    return (
-        F.when(normal.rlike(word("hybrid|hibrido")), "hybrid").when(remote & office & ~wholly, "hybrid").when(remote, "remote").when(office | normal.rlike(word("presencial")), "onsite").otherwise("unknown")
-    )
+    """A posting that names both home and office is hybrid, unless it is remote all through; one that names neither is unknown."""
+    said = {k: normal.rlike(word(p)) for k, p in MODE_WORDS.items()}
+    both = said["hybrid"] | (said["remote"] & said["office"] & ~said["wholly"])
+    return F.when(both, "hybrid").when(said["remote"], "remote").when(said["office"] | said["onsite"], "onsite").otherwise("unknown")
 
 
 def dedup_key(normal_company: Column, normal_title: Column, url: Column) -> Column:
     named = normal_company.isNotNull() & (normal_title != "")
     return F.sha2(F.when(named, F.concat_ws("|", normal_company, normal_title)).otherwise(F.concat(F.lit("url|"), F.coalesce(url, F.lit("")))), 256)
+
+
+#: What a skill's name tells of its kind, in order.
+CATEGORIES = (
+    ("language", r"^(?:javascript|typescript|python|java|go|c\+\+|c#|rust|ruby|php|kotlin|swift|scala|sql)$"), ("framework", r"react|vue|angular|next|node|\.net|spring|django|rails|express"),
+    ("database", "postgres|mysql|mongo|redis|sql server|dynamo|cassandra|elasticsearch"), ("cloud", "^(?:aws|gcp|azure)$"), ("devops", "kubernetes|docker|terraform|ci/cd|ansible|helm"),
+    ("infrastructure", "kafka|rabbitmq"), ("architecture", "microservices|distributed|system design|rest|graphql"), ("ai", "machine learning|language model|context protocol|claude|agents"),
+    ("practice", "testing|agile|git"), ("soft", "leadership"), ("domain", "english|spanish"),
+)
+#: Codes that sources send in place of country names.
+COUNTRY_CODES = {
+    "mx": "mexico", "mex": "mexico", "us": "united states", "usa": "united states", "ca": "canada", "br": "brazil", "co": "colombia", "ar": "argentina", "cl": "chile", "pe": "peru", "uy": "uruguay",
+    "gb": "united kingdom", "uk": "united kingdom", "ie": "ireland", "de": "germany", "es": "spain", "fr": "france", "pt": "portugal", "nl": "netherlands", "pl": "poland", "in": "india",
+}
+
+
+def skill_category(name: Column) -> Column:
+    out = F.lit("other")
+    for kind, pattern in reversed(CATEGORIES):
+        out = F.when(F.lower(name).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def website_domain(website: Column) -> Column:
+    """The host without www.; null where there is none."""
+    full = F.when(website.startswith("http"), website).otherwise(F.concat(F.lit("https://"), website))
+    host = F.lower(F.try_parse_url(full, F.lit("HOST")))
+    return F.regexp_replace(host, r"^www\.", "")
+
+
+def pay_period(period: Column) -> Column:
+    """hour, day, week, month or year; what is not known counts as a year."""
+    p = F.lower(period)
+    return F.when(p.startswith("hour"), "hour").when(p.startswith("da"), "day").when(p.startswith("week"), "week").when(p.startswith("month"), "month").otherwise("year")
+
+
+def country_name(raw: Column) -> Column:
+    """Lower case, without accents, codes spelled out; null for null and empty."""
+    plain = F.lower(fold(F.trim(raw)))
+    return F.when(raw != "", F.coalesce(F.create_map(*[F.lit(x) for kv in COUNTRY_CODES.items() for x in kv])[plain], plain))
+
+
+def content_hash(title: Column, company_: Column, location: Column, mode: Column, body: Column, pay: Column, employment_: Column) -> Column:
+    """Names the content of a posting: equal only where all parts are, nulls included."""
+    parts = F.struct(title.alias("title"), company_.alias("company"), location.alias("location"), mode.alias("mode"), F.sha2(body, 256).alias("body"), pay.alias("pay"), employment_.alias("employment"))
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)

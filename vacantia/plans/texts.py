@@ -71,8 +71,7 @@ def skill_extract(spark, d):
 
 def years_team(spark, d):
     text = F.col("text")
-    lead = r"(?i)(?<![A-Za-z0-9_])(?:tech(?:nical)? lead|team lead|lead engineer|engineering manager|mentor|mentoring|manage a team|lead a team|leading a team|direct reports|people management|head of engineering|staff|principal engineer)(?![A-Za-z0-9_])"
-    return _texts(spark, d).select("id", extract.years_required(text).alias("years"), extract.team_size(text).alias("team"), F.coalesce(text.rlike(lead), F.lit(False)).alias("leads"))
+    return _texts(spark, d).select("id", extract.years_required(text).alias("years"), extract.team_size(text).alias("team"), F.coalesce(text.rlike(extract.LEADS), F.lit(False)).alias("leads"))
 
 
 def languages_required(spark, d):
