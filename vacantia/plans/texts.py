@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as T
-from vacantia.operators import extract, resolve
+from vacantia.operators import extract, ingest, resolve, signals
 from vacantia.session import table
 
 
@@ -83,9 +83,72 @@ def salary_parse(spark, d):
     return extract.pay_in(rows.filter("text is not null"))
 
 
+KEYWORDS = ("evaluation", "specification", "acceptance criteria", "automation", "audit trail")
+
+
+def job_signals(spark, d):
+    """What bodies say of place, zone, office, entity, pay by country, authorisation and practice: one row each with its sentence."""
+    rows = signals.body_signals(_texts(spark, d), KEYWORDS)
+    each = {
+        "scope": (F.col("scope.value"), F.col("scope.evidence")), "window": (F.col("window.zone"), F.col("window.evidence")), "entity": (F.lit("yes"), F.col("entity")), "office": (F.lit("yes"), F.col("office")),
+        "country_pay": (F.lit("yes"), F.col("country_pay")), "authorisation": (F.col("authorisation"), F.col("authorisation")), "practice": (F.array_join("practice", "|"), F.nullif(F.array_join("practice", "|"), F.lit(""))),
+    }
+    long = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value"), e.alias("evidence")) for k, (v, e) in each.items()])
+    return rows.select("id", F.explode(long).alias("x")).select("id", "x.*").filter("evidence is not null")
+
+
+def duty_lines(spark, d):
+    return signals.duties(_texts(spark, d)).select("id", F.posexplode("duties").alias("k", "line"))
+
+
+def job_analysis(spark, d):
+    """All that rules read from each posting, with the explicit pay of the smallest id."""
+    pay = table(spark, d, "compensation_observations").filter("observation_type = 'explicit' and job_id is not null")
+    pay = pay.groupBy(F.col("job_id").alias("id")).agg(F.min_by(F.struct(F.col("min_amount").alias("low"), F.col("max_amount").alias("high"), "currency", "period"), "id").alias("p")).select("id", "p.*")
+    found = signals.analysis(_jobs(spark, d, "seniority", "work_mode", "remote_scope", "location"), _texts(spark, d), table(spark, d, "skills"), pay, KEYWORDS)
+    return found.select("id", "years", "team", "leads", F.coalesce(F.size("skills"), F.lit(0)).alias("skills"), F.coalesce(F.size("languages"), F.lit(0)).alias("languages"), F.col("pay.low").alias("low"), F.col("pay.high").alias("high"), "scope", F.array_join("missing", "|").alias("missing"))
+
+
+def _records(spark, d):
+    raw = table(spark, d, "jobs").withColumn("seq", F.struct(F.unix_micros("discovered_at").alias("at"), "id"))
+    normal = ingest.normalised(raw.select("seq", "id", "source_id", "external_id", "url", "title", "company_name", "location", "country", "description", "posted_at", "work_mode", "seniority", "employment_type", "remote_scope", "language"))
+    return ingest.outcomes(ingest.identified(normal))
+
+
+def normalized_jobs(spark, d):
+    raw = table(spark, d, "jobs").withColumns({c: F.lit(None).cast("string") for c in ("work_mode", "seniority", "employment_type")})
+    return ingest.normalised(raw).select("id", "title", "normal_title", "normal_company", "canonical_url", "work_mode", "seniority", "employment_type", "dedup_key")
+
+
+def content_versions(spark, d):
+    """How often each normalised content occurs: rows by content hash, those that occur twice or more, by their smallest id."""
+    normal = ingest.normalised(table(spark, d, "jobs"))
+    return normal.groupBy("content_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first_id", "n")
+
+
+def ingest_outcomes(spark, d):
+    return _records(spark, d).select("id", F.col("root.id").alias("root_id"), "outcome")
+
+
+def ingest_snapshot(spark, d):
+    return ingest.snapshot(_records(spark, d)).select(F.col("root.id").alias("id"), "source_id", "external_id", "canonical_url", "title", "company_name", "country", "posted_at", "versions", F.col("last_seq.id").alias("last_id"))
+
+
+def skill_categories(spark, d):
+    return table(spark, d, "skills").select("id", T.skill_category(F.col("name")).alias("category"))
+
+
+def company_domains(spark, d):
+    return table(spark, d, "companies").select("id", T.website_domain(F.col("website")).alias("domain"))
+
+
+def country_names(spark, d):
+    return _jobs(spark, d, "country").select("id", T.country_name(F.col("country")).alias("name"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
+    for f in (job_signals, duty_lines, job_analysis, normalized_jobs, content_versions, ingest_outcomes, ingest_snapshot, skill_categories, company_domains, country_names, text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
 }
 
 
