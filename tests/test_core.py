@@ -95,14 +95,93 @@ def test_fold_takes_only_allowed_edges(spark):
 
 
 def test_feeds(spark):
-    payload = lambda t: spark.createDataFrame([(t,)], "payload string")
+    payload = lambda *t: spark.createDataFrame([(x,) for x in t], "payload string")
     r = feeds.postings(payload('[{"legal":"notice"},{"id":"7","position":"Dev","company":"A","location":""}]'), "remoteok").collect()
     assert [(x["external_id"], x["remote_scope"]) for x in r] == [("7", "Worldwide")]
-    assert feeds.postings(payload("not json"), "greenhouse").count() == 0
+    broken = feeds.postings(payload("not json", '{"company":"A","jobs":[]}', '{"company":"A","jobs":[{"id":1,"title":"Dev","location":{"name":"Remote, EU"},"content":"&lt;p&gt;a&amp;amp;b&lt;/p&gt;"}]}'), "greenhouse").collect()
+    assert {(x["_corrupt"], x["title"], x["work_mode"], x["description"]) for x in broken} == {("not json", None, None, None), (None, "Dev", "remote", "<p>a&amp;b</p>")}
     x = feeds.rss(payload("<rss><item><title><![CDATA[Acme: Dev]]></title><link>u</link><guid>g</guid></item></rss>"), "weworkremotely").first()
     assert (x["company_name"], x["title"], x["external_id"]) == ("Acme", "Dev", "g")
-    c = feeds.hiring_comments(spark.createDataFrame([(1, "Acme | Dev | Remote\nmore"), (2, "no header")], "id long, text string")).collect()
-    assert [(x["company_name"], x["title"]) for x in c] == [("Acme", "Dev")]
+    ashby = '{"company":"A","jobs":[{"id":"1","title":"T","employmentType":"FullTime","isRemote":true,"compensation":{"summaryComponents":[{"compensationType":"Equity"},{"compensationType":"Salary","minValue":10,"maxValue":20,"currencyCode":"EUR","interval":"1 MONTH"}]}}]}'
+    x = feeds.postings(payload(ashby), "ashby").first()
+    assert (x["salary_min"], x["salary_currency"], x["salary_period"], x["employment_type"], x["work_mode"]) == (10.0, "EUR", "month", "full_time", "remote")
+    places = '{"name":"W","jobs":[{"shortcode":"a","title":"T","telecommuting":true,"country":"US","locations":[{"city":"X","country":"US"}]},{"shortcode":"b","title":"T","telecommuting":true,"locations":[{"country":"US"},{"country":"CA"}]},{"shortcode":"c","title":"T","telecommuting":false,"city":"Q","country":"MX"}]}'
+    assert [(x["location"], x["country"]) for x in feeds.postings(payload(places), "workable").orderBy("external_id").collect()] == [("Remote", None), ("US; CA", None), ("Q, MX", "MX")]
+    bamboo = '{"company":"B","result":[{"id":"1","jobOpeningName":"T","locationType":"1","atsLocation":{"country":"US"}},{"id":"2","jobOpeningName":"T","locationType":"2","location":{"city":"X","addressCountry":"MX"}}]}'
+    assert [(x["work_mode"], x["country"], x["location"]) for x in feeds.postings(payload(bamboo), "bamboohr").orderBy("external_id").collect()] == [("remote", None, "US"), ("hybrid", "MX", "X, MX")]
+    twice = '{"site":"mx-es","data":[{"ref":"9-en_GB","title":"first","description":"Modalidad de trabajo: Híbrido"},{"ref":"9-en_US","title":"second"},{"ref":"8-en","title":"gone","deleted_at":"x"}]}'
+    assert [(x["external_id"], x["title"], x["country"], x["work_mode"]) for x in feeds.postings(payload(twice), "capgemini").collect()] == [("mx-es:9", "first", "Mexico", "hybrid")]
+
+
+def test_salary_texts(spark):
+    want = {"$90,000 - $120,000": (90000.0, 120000.0, "USD", "year"), "EUR 4k-5.5k / month": (4000.0, 5500.0, "EUR", "month"), "competitive": None, "100-200 USD": None, None: None, "": None}
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(want)], "i int, x string").select("i", feeds.parse_salary(F.col("x")).alias("p")).orderBy("i").collect()
+    assert [tuple(r["p"]) if r["p"] else None for r in rows] == list(want.values())
+
+
+def test_hiring_comments(spark):
+    texts = {
+        "Acme | Dev | Remote\nmore": ("Acme", "Dev", "Remote"), "no header": None, "Acme | Berlin | Sr. Backend Engineer | $100k | ONSITE": ("Acme", "Sr. Backend Engineer", "Berlin"), "Stack | https://s.io | /^Full-?stack Engineer$/i": ("Stack", "Full-stack Engineer", None),
+        "Acme | Engineer, Data. We build things " + "x " * 80 + " | Remote": ("Acme", "Engineer, Data", "Remote"), "\n  \nAcme | A lead engineer of many words | Lead": ("Acme", "Lead", None), None: None, "": None, "https://a.com": None,
+    }
+    got = {r["external_id"]: (r["company_name"], r["title"], r["location"]) for r in feeds.hiring_comments(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert {x: got.get(str(i)) for i, x in enumerate(texts)} == texts
+
+
+def test_country_facets(spark):
+    facets = '[{"facetParameter":"locationMainGroup","values":[{"facetParameter":"locations","values":[{"id":"1","descriptor":"Apodaca-Mexico"},{"id":"2","descriptor":"Santa Fe, New Mexico"}]},{"facetParameter":"country","values":[{"id":"c1","descriptor":"Mexico"}]}]}]'
+    df = spark.createDataFrame([(facets,), ("broken",), (None,)], "x string")
+    assert [r["y"] for r in df.select(feeds.country_facets(F.col("x"), "Mexico").alias("y")).collect()] == [["locations=1"], [], []]
+    assert df.select(feeds.country_facets(F.col("x"), "Mexico", "c1").alias("y")).first()["y"] == ["country=c1"]
+
+
+def sequential_ingest(records):
+    """The rule one record at a time: which posting each belongs to, and what it does there."""
+    rows, out = [], {}
+    for seq, source, ext, url, content in sorted(records):
+        hit = next((r for r in rows if ext and r["source"] == source and r["ext"] == ext), None)
+        hit = hit or next((r for r in rows if r["source"] == source and url in r["urls"] and (r["ext"] is None or ext is None)), None)
+        if hit is None:
+            rows.append({"source": source, "ext": ext, "urls": {url}, "root": seq, "content": content})
+            out[seq] = (seq, "created")
+        else:
+            out[seq] = (hit["root"], "unchanged" if hit["content"] == content else "updated")
+            hit["content"] = content
+    return out
+
+
+def test_ingest_equals_the_sequential_rule(spark):
+    from vacantia.operators import ingest
+
+    rng = random.Random(8)
+    for _ in range(4):
+        records, url_of = [], {}
+        for i in range(60):
+            ext = rng.choice([None, *"abcdef"])
+            url = url_of.setdefault(ext, f"u{rng.randrange(5)}") if ext else f"u{rng.randrange(5)}"
+            records.append((i, rng.randrange(2), ext, url, f"c{rng.randrange(3)}"))
+        df = spark.createDataFrame(records, "seq long, source_id long, external_id string, canonical_url string, content_hash string")
+        got = {r["seq"]: (r["root"], r["outcome"]) for r in ingest.outcomes(ingest.identified(df)).collect()}
+        assert got == sequential_ingest(records)
+
+
+def test_signals(spark):
+    from vacantia.operators import signals
+
+    texts = {
+        "This role can be performed remotely for candidates located in Ontario, Canada. More.": ("Ontario, Canada", "This role can be performed remotely for candidates located in Ontario, Canada."),
+        "Candidates must be located in the United States and we pay well": ("United States", "Candidates must be located in the United States and we pay well"),
+        "You must be located in Anywhere land": None, "Location: Remote\nIreland is nice": None, "Location: Remote - US": ("US", "Location: Remote - US"), "must reside in Gondor. US-based candidates only": ("US", "US-based candidates only"), None: None, "": None, "y" * 20_000: None,
+    }
+    df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)], "id long, text string, scope string")
+    got = {r["id"]: (r["scope"]["value"], r["scope"]["evidence"]) for r in signals.body_signals(df).filter("scope is not null").collect()}
+    assert {x: got.get(i) for i, x in enumerate(texts)} == texts
+    said = "We work in CET +/- 3 hours, we are unable to consider others. 2 days a week in our office. Right to work in Mexico. Any country where we have a legal entity."
+    r = signals.body_signals(spark.createDataFrame([(1, said)], "id long, text string"), ("LEGAL entity", "none")).first()
+    assert (r["window"]["zone"], r["window"]["offset"], r["window"]["plus_minus"], r["window"]["hard"]) == ("CET", 1, 3, True)
+    assert r["office"] == "2 days a week in our office." and r["authorisation"] == "Right to work in Mexico" and r["entity"].startswith("Any country") and r["practice"] == ["LEGAL entity"]
+    d = signals.duties(spark.createDataFrame([(1, "Responsibilities\nshort\nBuild  the thing well\nPerks\nfruit every single day")], "id long, text string")).first()
+    assert d["duties"] == ["Responsibilities", "Build the thing well"]
 
 
 def test_stream_equals_batch(spark):

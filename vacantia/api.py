@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.operators import demand, packed, pay, timestamps, units
-from vacantia.plans import general_tasks, lifecycle, relational, scoring, texts
+from vacantia.plans import general_tasks, ingestion, lifecycle, relational, scoring, texts
 from vacantia.session import table
 
 
 class Engine:
     def __init__(self, spark: SparkSession, tables: str):
         self.spark, self.tables = spark, tables
-        self._plans = {name: q for m in (relational, texts, scoring, lifecycle, general_tasks) for name, q in m.QUERIES.items()}
+        self._plans = {name: q for m in (relational, texts, ingestion, scoring, lifecycle, general_tasks) for name, q in m.QUERIES.items()}
 
     def _t(self, name: str) -> DataFrame:
         return table(self.spark, self.tables, name)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vacantia.operators import transitions
 from vacantia.plans.relational import APPLICATIONS, AS_OF, CANONICAL, LATEST, MATCHES, RUNS
 from vacantia.plans.sqlplan import oracle, plan
-from vacantia.sources import feeds
 from vacantia.session import table
 from vacantia.streaming import streams
 
@@ -46,13 +45,6 @@ SQL = {
       SELECT source_id, job_id, k FROM (SELECT j.source_id, j.id AS job_id, row_number() OVER (PARTITION BY j.source_id ORDER BY l.score DESC,
         CASE j.seniority WHEN 'executive' THEN 7 WHEN 'director' THEN 6 WHEN 'principal' THEN 5 WHEN 'staff' THEN 4 WHEN 'lead' THEN 4 WHEN 'manager' THEN 4 WHEN 'senior' THEN 3 WHEN 'mid' THEN 2 ELSE 1 END DESC,
         MICROS(j.discovered_at) DESC, j.id) AS k FROM jobs j JOIN latest l ON l.job_id = j.id WHERE j.{CANONICAL} AND l.eligible) x WHERE k <= 3""",
-    # Numbers of a run add up
-    "run_stat_merge": f"""WITH {RUNS} SELECT r.run_id, count(j.id) AS discovered, count(CASE WHEN j.duplicate_of_job_id IS NOT NULL THEN 1 END) AS duplicates
-      FROM runs r LEFT JOIN jobs j ON MICROS(date_trunc('month', j.discovered_at)) = r.started_us AND MICROS(j.discovered_at) <= r.ended_us GROUP BY r.run_id""",
-    # Newest row without error for (posting, state), null state is a miss
-    "eval_cache_hits": """SELECT j.id AS job_id, max(e.event_id) AS cached FROM jobs j LEFT JOIN events e ON e.user_id = j.id AND e.event_type <> 'error' AND e.event_id % 5 = j.id % 5 GROUP BY j.id""",
-    # S01 S09 S10 S12 on the captured feeds
-    "raw_postings": feeds.RAW_SQL,
 }
 
 

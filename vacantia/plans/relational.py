@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.operators import demand, pay
-from vacantia.plans.sqlplan import oracle, plan
+from vacantia.operators import demand, pay, ranges, search
+from vacantia.plans.sqlplan import oracle, plan, run
 from vacantia.session import table
 
 AS_OF = "2025-06-01 00:00:00"
@@ -28,6 +28,7 @@ APPLICATIONS = """app_events AS (SELECT event_id, user_id AS job_id, ts AS occur
 #: runs: one a month, over its first twenty days.
 RUNS = """runs AS (SELECT row_number() OVER (ORDER BY m) AS run_id, m AS started_us, m + 20 * 86400000000 AS ended_us
   FROM (SELECT DISTINCT MICROS(date_trunc('month', discovered_at)) AS m FROM jobs WHERE discovered_at IS NOT NULL) x)"""
+LONG_RUNS = RUNS.replace("m + 20 * 86400000000", "m + CASE WHEN MICROS(AS_TS('2000-01-01 00:00:00')) <= m AND floor(m / 86400000000) % 2 = 0 THEN 20 ELSE 45 END * 86400000000")
 RESEARCH = "research AS (SELECT company_id, max(MICROS(fetched_at)) AS researched_us FROM documents WHERE kind = 'company_note' AND company_id IS NOT NULL GROUP BY company_id)"
 CANONICAL = "duplicate_of_job_id IS NULL"
 ROUND1 = "floor({0} * 10 + 0.5) / 10"
@@ -45,15 +46,6 @@ SQL = {
       WHERE s.name LIKE '%a%' OR s.slug IN (SELECT slug FROM skills WHERE category = 'practice') ORDER BY job_count DESC, name, slug LIMIT 25""",
     # A07
     "job_counts": f"SELECT count(*) AS total, count(CASE WHEN {CANONICAL} THEN 1 END) AS canonical, count(duplicate_of_job_id) AS duplicates FROM jobs WHERE discovered_at >= AS_TS('2024-01-01 00:00:00')",
-    # Long form, countries limited to the 15 largest
-    "market_overview": f"""
-      WITH c AS (SELECT * FROM jobs WHERE {CANONICAL}),
-      countries AS (SELECT coalesce(country, 'unknown') AS k, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, k LIMIT 15)
-      SELECT 'work_mode' AS section, coalesce(work_mode, 'unknown') AS k, count(*) AS n FROM c GROUP BY 2
-      UNION ALL SELECT 'seniority', coalesce(seniority, 'unknown'), count(*) FROM c GROUP BY 2
-      UNION ALL SELECT 'employment_type', coalesce(employment_type, 'unknown'), count(*) FROM c GROUP BY 2
-      UNION ALL SELECT 'country', k, n FROM countries
-      UNION ALL SELECT 'total', 'all', count(*) FROM c""",
     # Duplicates count here
     "source_stats": f"""
       WITH {MATCHES}, {LATEST},
@@ -87,11 +79,6 @@ SQL = {
       SELECT j.id AS job_id, l.score, p.pay FROM jobs j JOIN latest l ON l.job_id = j.id LEFT JOIN applications a ON a.job_id = j.id LEFT JOIN top_pay p ON p.job_id = j.id
       WHERE l.eligible AND j.{CANONICAL} AND (a.job_id IS NULL OR a.status IN ('MATCHED', 'SELECTED', 'PREPARING', 'READY', 'FAILED', 'BLOCKED', 'SKIPPED', 'DISCOVERED', 'REQUIRES_USER_INPUT'))
       ORDER BY l.score DESC, p.pay DESC NULLS LAST, MICROS(j.discovered_at) DESC, j.id LIMIT 50""",
-    # F01 O01 J01
-    "search_jobs": f"""
-      WITH {MATCHES}, {LATEST}
-      SELECT j.id AS job_id, s.source_key, l.score FROM jobs j JOIN sources s ON s.id = j.source_id LEFT JOIN latest l ON l.job_id = j.id
-      WHERE j.{CANONICAL} AND j.status = 'active' AND j.work_mode = 'remote' ORDER BY coalesce(l.score, -1) DESC, MICROS(j.discovered_at) DESC, j.id LIMIT 50 OFFSET 5""",
     # F02
     "search_text": "SELECT id AS job_id, title FROM jobs WHERE lower(title) LIKE '%engineer%' OR lower(company_name) LIKE '%engineer%' OR lower(location) LIKE '%engineer%' OR lower(description) LIKE '%engineer%'",
     # F03 J06
@@ -105,25 +92,12 @@ SQL = {
         AND NOT EXISTS (SELECT 1 FROM applications a WHERE a.job_id = j.id AND a.status NOT IN ('DISCOVERED', 'MATCHED')) ORDER BY l.score DESC, j.id LIMIT 200""",
     # F08
     "stale_expiry": f"SELECT id AS job_id, CASE WHEN status = 'active' AND MICROS(last_seen_at) < MICROS(AS_TS('{AS_OF}')) - 45 * 86400000000 THEN 'expired' ELSE status END AS new_status FROM jobs",
-    # The newest run whose window holds the posting's discovery; months are few, so the range side stays small
-    "run_asof_backfill": f"""
-      WITH {RUNS} SELECT j.id AS job_id, max(r.run_id) AS run_id, 'VAC-' || CAST(max(r.run_id) AS STRING) || '.' || CAST(j.id AS STRING) AS code
-      FROM jobs j LEFT JOIN runs r ON MICROS(date_trunc('month', j.discovered_at)) = r.started_us AND MICROS(j.discovered_at) <= r.ended_us
-      GROUP BY j.id""",
     # A15
     "table_counts": "SELECT 'jobs' AS name, count(*) AS n FROM jobs UNION ALL SELECT 'job_skills', count(*) FROM job_skills UNION ALL SELECT 'companies', count(*) FROM companies UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'skills', count(*) FROM skills UNION ALL SELECT 'compensation_observations', count(*) FROM compensation_observations",
     # Null-safe identity on eight columns; the first observation stands
     "pay_idempotent": """
       SELECT min(id) AS id, count(*) AS copies FROM compensation_observations
       GROUP BY job_id, company_id, observation_type, min_amount, max_amount, currency, period, source""",
-    # J11
-    "alternate_locations": "SELECT duplicate_of_job_id AS job_id, JOIN_SORTED(LIST(DISTINCT location))JOINED AS locations FROM jobs WHERE duplicate_of_job_id IS NOT NULL AND location IS NOT NULL AND duplicate_of_job_id <> id GROUP BY duplicate_of_job_id",
-    # One row a posting, skill and kind of mention
-    "skill_mentions_merged": "SELECT job_id, skill_id, mention_type, max(confidence) AS confidence, max(years_required) AS years_required, count(*) AS merged FROM job_skills WHERE skill_id IS NOT NULL GROUP BY job_id, skill_id, mention_type",
-    # Annual pay in dollars where columns are clean; direct and inverse rates only
-    "fx_convert": """
-      SELECT c.id, c.max_amount * CASE c.period WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'day' THEN 260 WHEN 'hour' THEN 2080 END * f.usd_per_unit AS usd
-      FROM compensation_observations c JOIN fx_rates f ON f.currency = c.currency WHERE c.period IN ('year', 'month', 'week', 'day', 'hour') AND c.max_amount IS NOT NULL""",
     # Versions of a posting as copies of one external id, with what changed
     "version_history": """
       SELECT id, source_id, external_id, row_number() OVER (PARTITION BY source_id, external_id ORDER BY id) AS version,
@@ -163,7 +137,72 @@ def pay_stats_by_seniority(spark: SparkSession, d: str) -> DataFrame:
     return pay.statistics(table(spark, d, "compensation_observations"), table(spark, d, "jobs"), ["seniority"], "EUR")
 
 
-QUERIES = {name: plan(sql) for name, sql in SQL.items()} | {
+#: Counts of all dimensions in one pass; countries limited to the 15 largest.
+MARKET = """
+  WITH g AS (SELECT work_mode, seniority, employment_type, country, count(*) AS n, grouping_id(work_mode, seniority, employment_type, country) AS gid FROM jobs WHERE duplicate_of_job_id IS NULL
+    GROUP BY GROUPING SETS ((work_mode), (seniority), (employment_type), (country), ())),
+  named AS (SELECT CASE gid WHEN 7 THEN 'work_mode' WHEN 11 THEN 'seniority' WHEN 13 THEN 'employment_type' WHEN 14 THEN 'country' ELSE 'total' END AS section,
+    CASE gid WHEN 15 THEN 'all' ELSE coalesce(work_mode, seniority, employment_type, country, 'unknown') END AS k, n FROM g),
+  summed AS (SELECT section, k, sum(n) AS n FROM named GROUP BY section, k)
+  SELECT section, k, n FROM (SELECT s.*, row_number() OVER (PARTITION BY section ORDER BY n DESC, k) AS place FROM summed s) x WHERE section <> 'country' OR place <= 15"""
+#: The first value that is not null stands, by id; the highest confidence wins.
+MENTIONS = """SELECT job_id, skill_id, mention_type, max(confidence) AS confidence, min_by(years_required, CASE WHEN years_required IS NOT NULL THEN id END) AS years_required,
+    min_by(evidence, CASE WHEN evidence IS NOT NULL THEN id END) AS evidence, min_by(raw_form, CASE WHEN raw_form IS NOT NULL THEN id END) AS raw_form, count(*) AS merged
+  FROM job_skills WHERE skill_id IS NOT NULL GROUP BY job_id, skill_id, mention_type"""
+#: Places of the same source's copies of a posting, with their country.
+PLACES = """SELECT j.id AS job_id, array_join(array_sort(collect_set(concat(coalesce(d.location, ''), coalesce(concat(' / ', d.country), '')))), '|') AS locations
+  FROM jobs j JOIN jobs d ON d.duplicate_of_job_id = j.id AND d.source_id = j.source_id AND d.id <> j.id GROUP BY j.id"""
+#: Pay a year in dollars by the rate, in euros by the inverse rate from dollars; there are no cross rates.
+FX = """SELECT c.id, c.year * f.usd_per_unit AS usd, CASE c.currency WHEN 'EUR' THEN c.year WHEN 'USD' THEN c.year / e.usd_per_unit END AS eur
+  FROM (SELECT id, currency, max_amount * CASE period WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'day' THEN 260 WHEN 'hour' THEN 2080 END AS year FROM compensation_observations
+    WHERE period IN ('year', 'month', 'week', 'day', 'hour') AND max_amount IS NOT NULL) c
+  JOIN fx_rates f ON f.currency = c.currency CROSS JOIN (SELECT max(usd_per_unit) AS usd_per_unit FROM fx_rates WHERE currency = 'EUR') e"""
+#: Skills of a posting, firmest mention first, then by name.
+RANKED = """SELECT job_id, name, mention_type, row_number() OVER (PARTITION BY job_id ORDER BY rank DESC, name, skill_id) AS place FROM (
+    SELECT k.job_id, k.skill_id, s.name, max_by(k.mention_type, k.r) AS mention_type, max(k.r) AS rank FROM (
+      SELECT job_id, skill_id, mention_type, CASE mention_type WHEN 'explicit_required' THEN 4 WHEN 'explicit_preferred' THEN 3 WHEN 'mentioned' THEN 2 ELSE 1 END AS r FROM job_skills WHERE skill_id IS NOT NULL) k
+    JOIN skills s ON s.id = k.skill_id GROUP BY k.job_id, k.skill_id, s.name) x"""
+#: Patches of a run's numbers add up, other values replace.
+STATS = """SELECT month AS run, event_type AS k, floor(sum(value) * 100 + 0.5) / 100 AS total, max_by(props, event_id) AS props FROM (SELECT *, CAST(year(ts) * 100 + month(ts) AS INT) AS month FROM events) e GROUP BY month, event_type"""
+#: The newest evaluation without error for a posting's present state and question set; no state is a miss.
+CACHE = """WITH j AS (SELECT id, sha2(concat(title, '|', coalesce(seniority, '')), 256) AS state FROM jobs),
+  e AS (SELECT event_id, user_id AS job_id, event_type, sha2(concat(j.title, '|', CASE WHEN event_id % 3 = 0 THEN 'older' ELSE coalesce(j.seniority, '') END), 256) AS state, CASE WHEN event_id % 2 = 0 THEN 'short' ELSE 'long' END AS questions
+    FROM events JOIN jobs j ON j.id = user_id)
+  SELECT j.id AS job_id, q.questions, max(e.event_id) AS cached FROM j CROSS JOIN (SELECT 'short' AS questions UNION ALL SELECT 'long') q
+  LEFT JOIN e ON e.job_id = j.id AND e.state = j.state AND e.questions = q.questions AND e.event_type <> 'error' GROUP BY j.id, q.questions"""
+OWN = {"market_overview": MARKET, "skill_mentions_merged": MENTIONS, "alternate_locations": PLACES, "fx_convert": FX, "job_skills_ranked": RANKED, "run_stat_merge": STATS, "eval_cache_hits": CACHE}
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return run(spark, d, f"WITH {MATCHES} SELECT match_id, job_id, score, eligible, profile_version FROM matches")
+
+
+def search_jobs(spark: SparkSession, d: str) -> DataFrame:
+    wanted = search.JobSearch(work_mode="remote", offset=5)
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+
+
+def search_jobs_narrow(spark: SparkSession, d: str) -> DataFrame:
+    """Every predicate but unscored."""
+    wanted = search.JobSearch(canonical_only=False, status="any", work_mode="remote", discovered_after="2024-06-01 00:00:00", text="E", min_score=1.0, eligible_only=True, limit=900)
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+
+
+def search_jobs_unscored(spark: SparkSession, d: str) -> DataFrame:
+    wanted = search.JobSearch(unscored_only=True, profile_version=1, limit=500)
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+
+
+def run_asof_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """The run started last among those whose window holds the posting's discovery. Runs start monthly, last 20 or 45 days, so they leave gaps and overlap."""
+    jobs = table(spark, d, "jobs").select("id", F.unix_micros("discovered_at").alias("at"))
+    runs = run(spark, d, f"WITH {LONG_RUNS} SELECT run_id AS window_id, started_us AS start, ended_us AS end FROM runs")
+    found = ranges.newest_window(jobs, runs, 30 * 86_400_000_000)
+    return found.select(F.col("id").alias("job_id"), F.col("window_id").alias("run_id"), F.concat(F.lit("VAC-"), F.coalesce("window_id", F.lit(0)).cast("string"), F.lit("."), F.col("id").cast("string")).alias("code"))
+
+
+QUERIES = {name: plan(sql) for name, sql in (SQL | OWN).items()} | {
+    "search_jobs": search_jobs, "search_jobs_narrow": search_jobs_narrow, "search_jobs_unscored": search_jobs_unscored, "run_asof_backfill": run_asof_backfill,
     "skill_demand": skill_demand, "skill_demand_filtered": skill_demand_filtered, "skill_growth": skill_growth,
     "skill_cooccurrence": skill_cooccurrence, "pay_stats": pay_stats, "pay_stats_by_seniority": pay_stats_by_seniority,
 }
@@ -186,7 +225,43 @@ _PAY = """
     CASE WHEN count(*) >= 3 THEN floor(quantile_cont(mid, 0.5) + 0.5) END AS median, CASE WHEN count(*) >= 3 THEN floor(quantile_cont(mid, 0.25) + 0.5) END AS p25,
     CASE WHEN count(*) >= 3 THEN floor(quantile_cont(mid, 0.75) + 0.5) END AS p75, floor(avg(confidence) * 100 + 0.5) / 100 AS mean_confidence
   FROM o GROUP BY observation_type {grp}"""
+_SEARCH = f"""WITH {MATCHES}, last AS (SELECT job_id, arg_max(score, match_id) AS score, arg_max(eligible, match_id) AS eligible FROM matches GROUP BY job_id)
+  SELECT j.id AS job_id, s.source_key, l.score FROM jobs j JOIN sources s ON s.id = j.source_id LEFT JOIN last l ON l.job_id = j.id WHERE {{where}} ORDER BY coalesce(l.score, -1) DESC, j.discovered_at DESC NULLS LAST, j.id LIMIT {{limit}} OFFSET {{offset}}"""
 ORACLES = {name: oracle(sql) for name, sql in SQL.items()} | {
+    "market_overview": """
+      SELECT 'work_mode' AS section, coalesce(work_mode, 'unknown') AS k, count(*) AS n FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2
+      UNION ALL SELECT 'seniority', coalesce(seniority, 'unknown'), count(*) FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2
+      UNION ALL SELECT 'employment_type', coalesce(employment_type, 'unknown'), count(*) FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2
+      UNION ALL (SELECT 'country', coalesce(country, 'unknown') AS k, count(*) AS n FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2 ORDER BY n DESC, k LIMIT 15)
+      UNION ALL SELECT 'total', 'all', count(*) FROM jobs WHERE duplicate_of_job_id IS NULL""",
+    "skill_mentions_merged": """
+      SELECT job_id, skill_id, mention_type, max(confidence) AS confidence, first(years_required ORDER BY id) FILTER (WHERE years_required IS NOT NULL) AS years_required,
+        first(evidence ORDER BY id) FILTER (WHERE evidence IS NOT NULL) AS evidence, first(raw_form ORDER BY id) FILTER (WHERE raw_form IS NOT NULL) AS raw_form, count(*) AS merged
+      FROM job_skills WHERE skill_id IS NOT NULL GROUP BY ALL""",
+    "alternate_locations": """
+      SELECT id AS job_id, locations FROM (SELECT j.id, (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT coalesce(d.location, '') || coalesce(' / ' || d.country, '') AS x FROM jobs d
+        WHERE d.duplicate_of_job_id = j.id AND d.source_id = j.source_id AND d.id <> j.id) y) AS locations FROM jobs j) z WHERE locations IS NOT NULL""",
+    "fx_convert": """
+      WITH y(period, factor) AS (VALUES ('year', 1), ('month', 12), ('week', 52), ('day', 260), ('hour', 2080))
+      SELECT c.id, c.max_amount * y.factor * f.usd_per_unit AS usd, CASE WHEN c.currency = 'EUR' THEN c.max_amount * y.factor WHEN c.currency = 'USD' THEN c.max_amount * y.factor / (SELECT usd_per_unit FROM fx_rates WHERE currency = 'EUR') END AS eur
+      FROM compensation_observations c JOIN y USING (period) JOIN fx_rates f USING (currency) WHERE c.max_amount IS NOT NULL""",
+    "job_skills_ranked": """
+      WITH r(mention_type, rank) AS (VALUES ('explicit_required', 4), ('explicit_preferred', 3), ('mentioned', 2), ('expected', 1)),
+      best AS (SELECT DISTINCT ON (job_id, skill_id) job_id, skill_id, k.mention_type, rank FROM job_skills k JOIN r USING (mention_type) WHERE skill_id IS NOT NULL ORDER BY job_id, skill_id, rank DESC)
+      SELECT job_id, name, mention_type, row_number() OVER (PARTITION BY job_id ORDER BY rank DESC, name, skill_id) AS place FROM best JOIN skills s ON s.id = skill_id""",
+    "run_stat_merge": """
+      SELECT CAST(strftime(ts, '%Y%m') AS INT) AS run, event_type AS k, floor(sum(value) * 100 + 0.5) / 100 AS total, last(props ORDER BY event_id) AS props FROM events GROUP BY 1, 2""",
+    "eval_cache_hits": """
+      SELECT j.id AS job_id, q.questions, (SELECT max(event_id) FROM events e WHERE e.user_id = j.id AND j.title IS NOT NULL AND e.event_type <> 'error' AND (e.event_id % 2 = 0) = (q.questions = 'short')
+        AND (e.event_id % 3 <> 0 OR j.seniority = 'older')) AS cached FROM jobs j, (VALUES ('short'), ('long')) q(questions)""",
+    "run_asof_backfill": oracle(f"""
+      WITH {LONG_RUNS}, f AS (SELECT j.id, (SELECT r.run_id FROM runs r WHERE r.started_us <= MICROS(j.discovered_at) AND r.ended_us >= MICROS(j.discovered_at) ORDER BY r.started_us DESC LIMIT 1) AS run_id FROM jobs j)
+      SELECT id AS job_id, run_id, 'VAC-' || coalesce(run_id, 0) || '.' || id AS code FROM f"""),
+    "search_jobs": _SEARCH.format(where="j.duplicate_of_job_id IS NULL AND j.status = 'active' AND j.work_mode = 'remote'", limit=50, offset=5),
+    "search_jobs_narrow": _SEARCH.format(
+        where="j.work_mode = 'remote' AND j.discovered_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00' AND (j.title ILIKE '%e%' OR j.company_name ILIKE '%e%' OR j.location ILIKE '%e%' OR j.description ILIKE '%e%') AND l.score >= 1 AND l.eligible", limit=500, offset=0
+    ),
+    "search_jobs_unscored": _SEARCH.format(where="j.duplicate_of_job_id IS NULL AND j.status = 'active' AND j.id NOT IN (SELECT job_id FROM matches WHERE profile_version = 1 AND job_id IS NOT NULL)", limit=500, offset=0),
     "skill_demand": _DEMAND.format(job="", mention=""),
     "skill_demand_filtered": _DEMAND.format(
         job=f"AND j.discovered_at >= TIMESTAMPTZ '{PERIOD_START}+00' AND j.work_mode = 'remote' AND contains(lower(j.title), 'engineer')",

@@ -109,12 +109,6 @@ def job_analysis(spark, d):
     return found.select("id", "years", "team", "leads", F.coalesce(F.size("skills"), F.lit(0)).alias("skills"), F.coalesce(F.size("languages"), F.lit(0)).alias("languages"), F.col("pay.low").alias("low"), F.col("pay.high").alias("high"), "scope", F.array_join("missing", "|").alias("missing"))
 
 
-def _records(spark, d):
-    raw = table(spark, d, "jobs").withColumn("seq", F.struct(F.unix_micros("discovered_at").alias("at"), "id"))
-    normal = ingest.normalised(raw.select("seq", "id", "source_id", "external_id", "url", "title", "company_name", "location", "country", "description", "posted_at", "work_mode", "seniority", "employment_type", "remote_scope", "language"))
-    return ingest.outcomes(ingest.identified(normal))
-
-
 def normalized_jobs(spark, d):
     raw = table(spark, d, "jobs").withColumns({c: F.lit(None).cast("string") for c in ("work_mode", "seniority", "employment_type")})
     return ingest.normalised(raw).select("id", "title", "normal_title", "normal_company", "canonical_url", "work_mode", "seniority", "employment_type", "dedup_key")
@@ -126,14 +120,6 @@ def content_versions(spark, d):
     return normal.groupBy("content_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first_id", "n")
 
 
-def ingest_outcomes(spark, d):
-    return _records(spark, d).select("id", F.col("root.id").alias("root_id"), "outcome")
-
-
-def ingest_snapshot(spark, d):
-    return ingest.snapshot(_records(spark, d)).select(F.col("root.id").alias("id"), "source_id", "external_id", "canonical_url", "title", "company_name", "country", "posted_at", "versions", F.col("last_seq.id").alias("last_id"))
-
-
 def skill_categories(spark, d):
     return table(spark, d, "skills").select("id", T.skill_category(F.col("name")).alias("category"))
 
@@ -148,7 +134,7 @@ def country_names(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (job_signals, duty_lines, job_analysis, normalized_jobs, content_versions, ingest_outcomes, ingest_snapshot, skill_categories, company_domains, country_names, text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
+    for f in (job_signals, duty_lines, job_analysis, normalized_jobs, content_versions, skill_categories, company_domains, country_names, text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
 }
 
 
