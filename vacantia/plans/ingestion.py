@@ -57,7 +57,7 @@ def _steps(text: str, steps: tuple[tuple[str, str], ...]) -> str:
     return "CASE " + " ".join(f"WHEN lower({text}) LIKE '%{word}%' THEN '{value}'" for word, value in steps) + " END"
 
 
-_NUMBERS = r"list_filter(list_transform(regexp_extract_all(replace(salary, ',', ''), '(?i)(\d+(?:\.\d+)?\s*k?)', 1), x -> CAST(regexp_extract(x, '[0-9.]+') AS DOUBLE) * CASE WHEN lower(x) LIKE '%k' THEN 1000 ELSE 1 END), n -> n >= 1000)"
+_NUMBERS = r"[n for n in [CAST(regexp_extract(x, '[0-9.]+') AS DOUBLE) * CASE WHEN lower(x) LIKE '%k' THEN 1000 ELSE 1 END for x in regexp_extract_all(replace(salary, ',', ''), '(?i)(\d+(?:\.\d+)?\s*k?)', 1)] if n >= 1000]"
 _SIGN = r"CASE WHEN regexp_matches(salary, '(?i)usd|\$') THEN 'USD' WHEN regexp_matches(salary, '(?i)eur|€') THEN 'EUR' WHEN regexp_matches(salary, '(?i)gbp|£') THEN 'GBP' WHEN regexp_matches(salary, '(?i)mxn') THEN 'MXN' WHEN regexp_matches(salary, '(?i)cad') THEN 'CAD' END"
 _EVERY = r"CASE WHEN regexp_matches(salary, '(?i)hour|/h\b|hr\b') THEN 'hour' WHEN regexp_matches(salary, '(?i)month|/m\b|mes') THEN 'month' ELSE 'year' END"
 _SCOPE = "coalesce(nullif(array_to_string(location_restrictions, ', '), ''), 'Worldwide')"
