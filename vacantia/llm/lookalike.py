@@ -66,6 +66,7 @@ def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
 
 LOOK, FORMS = _classes()
 _LOOK, _SAME = str.maketrans(LOOK), str.maketrans(SAME_LOOK)
+_ALIKE = re.compile(f"[{''.join(sorted(LOOK))}]")
 #: Words of classes alone: only these, and words with a letter of another script, may be anything but Latin.
 _OPEN_WORD = re.compile(rf"(?<![\w{_MARKS}])[{''.join(FORMS)}][{''.join(FORMS)}\d_{_MARKS}]*(?![\w{_MARKS}])")
 
@@ -93,7 +94,7 @@ def visible(text: str) -> str:
 
 def look(text: str) -> str:
     """A decomposed text with each letter as its class."""
-    return text if text.isascii() else text.translate(_LOOK)
+    return text.translate(_LOOK) if _ALIKE.search(text) else text
 
 
 def resolve(shape: str, scores: dict[tuple[str, str], float]) -> str:
@@ -124,16 +125,15 @@ def resolve(shape: str, scores: dict[tuple[str, str], float]) -> str:
 
 def canonical(text: str, scores: dict[tuple[str, str], float], known: dict[str, str]) -> str:
     """The consistent form of a text, which follows from its shape alone; known caches resolved words."""
-
-    def one(m: re.Match) -> str:
-        word = m[0]
+    shape = look(visible(text))
+    words = _OPEN_WORD if shape.isascii() or not _OTHER.search(shape) else _WORD
+    changed = False
+    for word in set(words.findall(shape)):
         found = known.get(word)
         if found is None:
             found = known[word] = resolve(word, scores)
-        return found
-
-    shape = look(visible(text))
-    out = (_OPEN_WORD if shape.isascii() or not _OTHER.search(shape) else _WORD).sub(one, shape)
+        changed |= found != word
+    out = words.sub(lambda m: known[m[0]], shape) if changed else shape
     return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 

@@ -41,7 +41,7 @@ MASKS = [f"m{k}" for k in range(MASK_BITS // 64)]
 #: Bytes of a key beside the number of its partition, and keys that one task links at once.
 KEY_BYTES, KEYS_A_TASK = 5, 2_000_000
 #: Attempts of all bins at once, before those still empty are followed one by one.
-TOGETHER = 12
+TOGETHER = 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _DOC, _KEYS, _EDGE = b"d", b"k", b"e"
@@ -134,10 +134,15 @@ def sketches(flat: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarra
     out[place[down]] = h[down]
     out = np.ascontiguousarray(out.reshape(n, bins).T)  # bins x texts, so that an attempt moves whole rows
     full = out != _EMPTY
-    source = np.full((bins, n), -1, dtype=np.int16)
-    for row in attempts(bins, TOGETHER)[::-1]:  # the first attempt that hits is written last
-        np.copyto(source, row[:, None], where=full[row])
-    np.copyto(source, np.arange(bins, dtype=np.int16)[:, None], where=full)
+    empty = (~full).view(np.uint8)
+    table = attempts(bins, TOGETHER)
+    open_, failed = (~full).view(np.uint8), np.zeros((bins, n), dtype=np.uint8)  # failed: attempts without a hit
+    for row in table:
+        failed += open_
+        open_ &= empty[row]
+    own = np.arange(bins, dtype=np.int16)[None]
+    source = np.concatenate([own, table])[failed, np.arange(bins)[:, None]]
+    source[open_.view(np.bool_)] = -1
     bin_, rest = np.nonzero(source < 0)
     attempt = TOGETHER
     while len(rest):
