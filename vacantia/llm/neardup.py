@@ -22,6 +22,7 @@ empty texts likewise; a text is never linked with itself; texts with the same se
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=1)
 def word_characters() -> np.ndarray:
     """Whether each code point is a letter or digit."""
     return np.frombuffer(bytes(chr(i).isalnum() for i in range(0x110000)), dtype=np.bool_)
@@ -237,23 +239,24 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = _LINKED.replace(" long", "").replace(" int", "").split(", ")
     keys, who, edges = [], [], []
     for pdf in batches:
-        kind = pdf["cell"].str[:1] if len(pdf) else pd.Series([], dtype=object)
-        docs, own, held = pdf[kind == _DOC], pdf[kind == _EDGE], pdf[kind == _KEYS]
+        cells, ids = pdf["cell"].to_numpy(), pdf["id"].to_numpy()
+        kind = np.fromiter((c[0] for c in cells), dtype=np.uint8, count=len(cells))
+        docs, own, held = (np.flatnonzero(kind == k[0]) for k in (_DOC, _EDGE, _KEYS))
         if len(docs):
-            raw = np.frombuffer(b"".join(docs["cell"]), dtype=np.uint8).reshape(len(docs), -1)
+            raw = np.frombuffer(b"".join(cells[docs]), dtype=np.uint8).reshape(len(docs), -1)
             name = raw[:, 1:17].copy().view(np.int64)
             mask = raw[:, 21:].copy().view(np.int64)
-            out = {"a": pd.array([None] * len(docs), dtype="Int64"), "b": docs["id"].to_numpy(), "s1": name[:, 0], "s2": name[:, 1], "size": raw[:, 17:21].copy().view(np.int32)[:, 0]}
+            out = {"a": pd.array([None] * len(docs), dtype="Int64"), "b": ids[docs], "s1": name[:, 0], "s2": name[:, 1], "size": raw[:, 17:21].copy().view(np.int32)[:, 0]}
             yield pd.DataFrame(out | {m: mask[:, k] for k, m in enumerate(MASKS)})
         if len(own):
-            edges.append(np.stack([np.frombuffer(b"".join(c[1:] for c in own["cell"]), dtype=np.int64), own["id"].to_numpy()]))
+            edges.append(np.stack([np.frombuffer(b"".join(c[1:] for c in cells[own]), dtype=np.int64), ids[own]]))
         if len(held):
-            sizes = held["cell"].str.len().to_numpy() - 1
-            raw = np.frombuffer(b"".join(c[1:] for c in held["cell"]), dtype=np.uint8).reshape(-1, KEY_BYTES)
+            sizes = np.fromiter(map(len, cells[held]), dtype=np.int64, count=len(held)) - 1
+            raw = np.frombuffer(b"".join(c[1:] for c in cells[held]), dtype=np.uint8).reshape(-1, KEY_BYTES)
             wide = np.zeros((len(raw), 8), dtype=np.uint8)
             wide[:, :KEY_BYTES] = raw
             keys.append(wide.view(np.uint64)[:, 0])
-            who.append(np.repeat(held["id"].to_numpy(), sizes // KEY_BYTES))
+            who.append(np.repeat(ids[held], sizes // KEY_BYTES))
     if keys:
         edges.append(np.stack(star(np.concatenate(keys), np.concatenate(who))[:2]))
     if edges:
