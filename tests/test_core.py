@@ -40,6 +40,11 @@ def test_extraction(spark):
     assert {r["line"]: r["section"] for r in extract.sections(df).collect()}["Kotlin"] == "preferred"
     skills = spark.createDataFrame([("go", "Go"), ("kotlin", "Kotlin"), ("c", "C")], "slug string, name string")
     assert {(r["slug"], r["mention_type"]) for r in extract.skills_in(df, skills).collect()} == {("go", "explicit_required"), ("kotlin", "explicit_preferred")}
+    more = spark.createDataFrame([(1, "Requirements\nk8s, CI/CD and Node.js (plus Málaga) . / Go-lang. C#"), (2, ""), (3, "Go " * 3000)], "id long, text string")
+    names = spark.createDataFrame([("kubernetes",), ("ci-cd",), ("nodejs",), ("malaga",), ("c#",), ("go",), ("c",), ("node",)], "slug string")
+    other = spark.createDataFrame([("k8s", "kubernetes"), ("c#", "c")], "normal_alias string, slug string")
+    found = {(r["id"], r["slug"]) for r in extract.skills_in(more, names, other).collect()}
+    assert found == {(1, x) for x in ("kubernetes", "ci-cd", "nodejs", "malaga", "c#")} | {(3, "go")}
     assert one(spark, extract.years_required, "at least 7 years") == 7
 
 

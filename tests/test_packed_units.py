@@ -21,6 +21,12 @@ def test_packed(spark):
     assert got[11] == ["R&D", "Spain"] and got[12] == ["single"] and got[13] == ["Peru", "Bosnia and Herzegovina"] and 15 not in got and 16 not in got
 
 
+def test_known_value_of_any_number_of_parts(spark):
+    long = "a and b and c and d and e and f"
+    got = unpack(spark, [f'"{long}"; x', f"y, {long}", long])
+    assert got == {0: [long, "x"], 1: ["y", long], 2: [long]}
+
+
 def test_packed_long_and_empty(spark):
     assert len(unpack(spark, [", ".join(f"v{i}" for i in range(5000))])[0]) == 5000
     assert unpack(spark, []) == {}

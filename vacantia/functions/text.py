@@ -45,6 +45,22 @@ def fold(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+def _plain_table() -> tuple[str, str]:
+    """Single characters whose compatibility form without marks is one other character, and that character, by rule."""
+    pairs = {}
+    for code in (*range(0xA0, 0x3000), *range(0xFF01, 0xFF5F)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not "\u0300" <= c <= "\u036f")
+        if len(base) == 1 and base != chr(code):
+            pairs[chr(code)] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+def plain_letters(text: Column) -> Column:
+    """Like fold without leaving the JVM, but for characters that fold to several (ligatures), which stay."""
+    plain = F.regexp_replace(F.translate(text, *_plain_table()), "[\\u0300-\\u036f]", "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Lower case, accents stripped, only letters, digits, marks, + # and . kept; empty for null."""
     return F.coalesce(collapse(F.regexp_replace(F.lower(fold(text)), r"[^\p{L}\p{N}\p{M}+#.\s]", " ")), F.lit(""))
