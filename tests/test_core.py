@@ -195,9 +195,14 @@ def test_stream_equals_batch(spark):
     assert streams.accepted_events(spark, SMALL).count() == events.count()
 
 
-def test_core_stands_alone():
+def test_core_does_not_name_the_subpackage():
+    from pathlib import Path
+
     import __spark_entry__ as e
 
+    core = [p for p in Path(e.__file__).with_name("vacantia").rglob("*.py") if p.parent.name != "llm"]
+    assert len(core) > 20 and not [p.name for p in core if "vacantia.llm" in p.read_text()]
+
     assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())
 
 

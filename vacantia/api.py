@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.operators import demand, packed, pay, timestamps, units
+from vacantia.operators import demand, packed, pay, search, signals, timestamps, units
 from vacantia.plans import general_tasks, ingestion, lifecycle, relational, scoring, texts
 from vacantia.session import table
 
@@ -36,6 +36,15 @@ class Engine:
     def pay_statistics(self, *, currency: str, by: tuple[str, ...] = (), min_sample: int = 3) -> DataFrame:
         return pay.statistics(self._t("compensation_observations"), self._t("jobs"), list(by), currency, min_sample)
 
+    def search_jobs(self, *, wanted: search.JobSearch = search.JobSearch()) -> DataFrame:
+        return wanted.run(self._t("jobs"), self._t("sources"), relational.matches(self.spark, self.tables))
+
+    def body_signals(self, *, keywords: tuple[str, ...] = ()) -> DataFrame:
+        return signals.body_signals(texts.html_to_text(self.spark, self.tables), keywords)
+
+    def ingested(self) -> DataFrame:
+        return ingestion.ingest_snapshot(self.spark, self.tables)
+
     def timestamps(self, *, threshold: float = 0.9) -> DataFrame:
         return timestamps.normalise(general_tasks.feed_values(self.spark, self.tables), threshold)
 

@@ -173,24 +173,24 @@ CACHE = """WITH j AS (SELECT id, sha2(concat(title, '|', coalesce(seniority, '')
 OWN = {"market_overview": MARKET, "skill_mentions_merged": MENTIONS, "alternate_locations": PLACES, "fx_convert": FX, "job_skills_ranked": RANKED, "run_stat_merge": STATS, "eval_cache_hits": CACHE}
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
+def matches(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, f"WITH {MATCHES} SELECT match_id, job_id, score, eligible, profile_version FROM matches")
 
 
 def search_jobs(spark: SparkSession, d: str) -> DataFrame:
     wanted = search.JobSearch(work_mode="remote", offset=5)
-    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), matches(spark, d))
 
 
 def search_jobs_narrow(spark: SparkSession, d: str) -> DataFrame:
     """Every predicate but unscored."""
     wanted = search.JobSearch(canonical_only=False, status="any", work_mode="remote", discovered_after="2024-06-01 00:00:00", text="E", min_score=1.0, eligible_only=True, limit=900)
-    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), matches(spark, d))
 
 
 def search_jobs_unscored(spark: SparkSession, d: str) -> DataFrame:
     wanted = search.JobSearch(unscored_only=True, profile_version=1, limit=500)
-    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), _matches(spark, d))
+    return wanted.run(table(spark, d, "jobs"), table(spark, d, "sources"), matches(spark, d))
 
 
 def run_asof_backfill(spark: SparkSession, d: str) -> DataFrame:
