@@ -28,6 +28,11 @@ def test_names(spark):
     assert one(spark, text.website_domain, "www.Ex.com/a") == "ex.com" and one(spark, text.website_domain, "https://x y") is None
 
 
+def test_feed_instants(spark):
+    at = {"1700000000": 1_700_000_000_000_000, "1700000000123": 1_700_000_000_123_000, "2024-01-02T03:04:05Z": 1_704_164_645_000_000, "2024-01-02": 1_704_153_600_000_000, "soon": None, "": None, None: None, "9" * 30: None}
+    assert {x: one(spark, lambda c: F.unix_micros(text.unix_or_iso(c)), x) for x in at} == at
+
+
 def test_extraction(spark):
     pay = {
         "We pay $150 - 210K per year": (150000.0, 210000.0, "USD", "year"), "raised $5-10 million": None, None: None, "": None, "5 - 10 years": None, "EUR 3.500 – 4.200 monthly": (3500.0, 4200.0, "EUR", "month"),

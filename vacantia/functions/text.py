@@ -174,3 +174,10 @@ def content_hash(title: Column, company_: Column, location: Column, mode: Column
     """Names the content of a posting: equal only where all parts are, nulls included."""
     parts = F.struct(title.alias("title"), company_.alias("company"), location.alias("location"), mode.alias("mode"), F.sha2(body, 256).alias("body"), pay.alias("pay"), employment_.alias("employment"))
     return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
+def unix_or_iso(value: Column) -> Column:
+    """An instant from what feeds send: a number below 1e12 is seconds since 1970, any other milliseconds; else a written instant; null where it is neither."""
+    number = F.when(value.rlike(r"^\s*\d+(?:\.\d+)?\s*$"), F.trim(value).try_cast("double"))
+    seconds = F.when(number < 1e12, number).otherwise(number / 1000)
+    return F.coalesce(F.when(seconds < 2.5e11, F.timestamp_micros(F.round(seconds * 1e6).cast("long"))), F.when(number.isNull(), F.trim(value).try_cast("timestamp")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Periods of a year.
@@ -18,14 +18,26 @@ def midpoint(low: Column, high: Column) -> Column:
 
 
 def statistics(observations: DataFrame, jobs: DataFrame, by: list[str], currency: str, min_sample: int = 3) -> DataFrame:
-    """One row per observation type and group. Below min_sample only size and mean confidence are given."""
+    """One row per observation type and group. Below min_sample only size and mean confidence are given.
+
+    Percentiles are interpolated at (n - 1) p between ranks; the sort behind the ranks may spill, so
+    that no group has to fit into one buffer.
+    """
     wanted = observations.filter((F.col("currency") == currency) & F.col("period").isin(*ANNUAL) & F.coalesce("min_amount", "max_amount").isNotNull())
     posting = jobs.select(F.col("id").alias("job_id"), F.col("seniority").alias("job_seniority"), "duplicate_of_job_id")
     rows = wanted.join(posting, "job_id", "left").filter("duplicate_of_job_id is null")
     rows = rows.withColumns({"mid": midpoint(F.col("min_amount"), F.col("max_amount")) * annual_factor(F.col("period")), "seniority": F.coalesce("seniority", "job_seniority")})
+    group = Window.partitionBy("observation_type", *by)
+    rows = rows.withColumns({"rank": F.row_number().over(group.orderBy("mid")), "size": F.count(F.lit(1)).over(group)})
+
+    def percentile(p: float) -> Column:
+        at = (F.col("size") - 1) * p
+        below, part = F.floor(at) + 1, at - F.floor(at)
+        return F.sum(F.when(F.col("rank") == below, F.col("mid") * (1 - part)).when(F.col("rank") == below + 1, F.col("mid") * part))
+
     enough = F.count(F.lit(1)) >= min_sample
     stat = lambda x, name: F.when(enough, F.floor(x + 0.5).cast("double")).alias(name)
     return rows.groupBy("observation_type", *by).agg(
-        F.count(F.lit(1)).alias("sample_size"), stat(F.min("mid"), "lowest"), stat(F.max("mid"), "highest"), stat(F.percentile("mid", 0.5), "median"),
-        stat(F.percentile("mid", 0.25), "p25"), stat(F.percentile("mid", 0.75), "p75"), (F.floor(F.avg("confidence") * 100 + 0.5) / 100).alias("mean_confidence"),
+        F.count(F.lit(1)).alias("sample_size"), stat(F.min("mid"), "lowest"), stat(F.max("mid"), "highest"), stat(percentile(0.5), "median"),
+        stat(percentile(0.25), "p25"), stat(percentile(0.75), "p75"), (F.floor(F.avg("confidence") * 100 + 0.5) / 100).alias("mean_confidence"),
     )

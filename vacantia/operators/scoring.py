@@ -49,8 +49,7 @@ def _hundredths(name: str) -> Column:
 def score(jobs: DataFrame, mentions: DataFrame, pay: DataFrame, levels: DataFrame, profile: Profile) -> DataFrame:
     """One row per posting: its factors (null where one does not apply), overall, vetoes and eligible."""
     named = mentions.filter("skill_id is not null").select("job_id", "skill_id", "mention_type").distinct()
-    # a profile holds some dozens of skills
-    graded = named.join(F.broadcast(levels), "skill_id", "left").withColumns({"level": F.coalesce(_hundredths("level"), F.lit(0)), "w": _lookup({k: round(v * 10) for k, v in MENTION.items()}, F.col("mention_type"))})
+    graded = named.join(levels, "skill_id", "left").withColumns({"level": F.coalesce(_hundredths("level"), F.lit(0)), "w": _lookup({k: round(v * 10) for k, v in MENTION.items()}, F.col("mention_type"))})
     skills = graded.groupBy("job_id").agg(
         F.floor(F.avg(F.when(F.col("mention_type") == "explicit_required", F.col("level"))) + 0.5).alias("required_skill"),
         F.floor(F.sum(F.col("w") * F.col("level")) / F.sum("w") + 0.5).alias("technical"),

@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 #: Which status may follow which.
 EDGES = {
-    "DISCOVERED": "MATCHED REJECTED SKIPPED EXPIRED BLOCKED", "MATCHED": "SELECTED REJECTED SKIPPED EXPIRED BLOCKED", "SELECTED": "PREPARING SKIPPED EXPIRED BLOCKED REQUIRES_USER_INPUT",
-    "PREPARING": "READY REQUIRES_USER_INPUT FAILED SKIPPED EXPIRED BLOCKED", "READY": "SUBMITTING REQUIRES_USER_INPUT SKIPPED EXPIRED BLOCKED SUBMITTED", "SUBMITTING": "SUBMITTED FAILED BLOCKED REQUIRES_USER_INPUT",
-    "SUBMITTED": "RESPONSE_RECEIVED INTERVIEW OFFER REJECTED WITHDRAWN NO_RESPONSE", "REQUIRES_USER_INPUT": "PREPARING READY SKIPPED EXPIRED BLOCKED SUBMITTED", "FAILED": "PREPARING READY SKIPPED EXPIRED BLOCKED",
-    "BLOCKED": "READY SKIPPED EXPIRED SUBMITTED", "SKIPPED": "SELECTED", "RESPONSE_RECEIVED": "INTERVIEW REJECTED WITHDRAWN OFFER NO_RESPONSE", "INTERVIEW": "OFFER REJECTED WITHDRAWN INTERVIEW",
-    "OFFER": "ACCEPTED DECLINED WITHDRAWN", "NO_RESPONSE": "RESPONSE_RECEIVED INTERVIEW REJECTED",
-}
-EDGES = {k: tuple(v.split()) for k, v in EDGES.items()}
+    "DISCOVERED": ("MATCHED", "REJECTED", "SKIPPED", "EXPIRED", "BLOCKED"),
+    "MATCHED": ("SELECTED", "REJECTED", "SKIPPED", "EXPIRED", "BLOCKED"),
+    "SELECTED": ("PREPARING", "SKIPPED", "EXPIRED", "BLOCKED", "REQUIRES_USER_INPUT"),
+    "PREPARING": ("READY", "REQUIRES_USER_INPUT", "FAILED", "SKIPPED", "EXPIRED", "BLOCKED"),
+    "READY": ("SUBMITTING", "REQUIRES_USER_INPUT", "SKIPPED", "EXPIRED", "BLOCKED", "SUBMITTED"),
+    "SUBMITTING": ("SUBMITTED", "FAILED", "BLOCKED", "REQUIRES_USER_INPUT"),
+    "SUBMITTED": ("RESPONSE_RECEIVED", "INTERVIEW", "OFFER", "REJECTED", "WITHDRAWN", "NO_RESPONSE"),
+    "REQUIRES_USER_INPUT": ("PREPARING", "READY", "SKIPPED", "EXPIRED", "BLOCKED", "SUBMITTED"),
+    "FAILED": ("PREPARING", "READY", "SKIPPED", "EXPIRED", "BLOCKED"),
+    "BLOCKED": ("READY", "SKIPPED", "EXPIRED", "SUBMITTED"),
+    "SKIPPED": ("SELECTED",),
+    "RESPONSE_RECEIVED": ("INTERVIEW", "REJECTED", "WITHDRAWN", "OFFER", "NO_RESPONSE"),
+    "INTERVIEW": ("OFFER", "REJECTED", "WITHDRAWN", "INTERVIEW"),
+    "OFFER": ("ACCEPTED", "DECLINED", "WITHDRAWN"),
+    "NO_RESPONSE": ("RESPONSE_RECEIVED", "INTERVIEW", "REJECTED"),
+}
 #: The binding of event types to statuses.
 STATUS = {"signup": "MATCHED", "view": "SELECTED", "click": "PREPARING", "purchase": "SUBMITTED"}
 

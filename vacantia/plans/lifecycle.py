@@ -63,6 +63,9 @@ def stream_daily_events(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {name: plan(sql) for name, sql in SQL.items()} | {"status_fold": status_fold, "schedule_slots": schedule_slots, "stream_daily_events": stream_daily_events}
 ORACLES = {name: oracle(sql) for name, sql in SQL.items()} | {
+    "schedule_slots": """
+      SELECT source_key, strftime(d, '%Y-%m-%d') AS day, t AS time, epoch_us((d + CAST(t || ':00' AS TIME)) AT TIME ZONE zone_name) AS slot_us, epoch_us((d + CAST(t || ':00' AS TIME)) AT TIME ZONE zone_name) + 5400000000 AS grace_us
+      FROM sources, (SELECT DATE '2025-03-06' + CAST(i AS INT) AS d FROM range(14) r(i)) days, (VALUES ('09:00'), ('13:30')) v(t)""",
     "stream_daily_events": "SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS day_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "status_fold": f"""WITH RECURSIVE {APPLICATIONS}, {_EDGES}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY occurred_at, event_id) AS k FROM app_events),
       f AS (SELECT job_id, 0::BIGINT AS k, 'DISCOVERED' AS status, 0 AS accepted FROM (SELECT DISTINCT job_id FROM n) UNION ALL

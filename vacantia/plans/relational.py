@@ -227,7 +227,36 @@ _PAY = """
   FROM o GROUP BY observation_type {grp}"""
 _SEARCH = f"""WITH {MATCHES}, last AS (SELECT job_id, arg_max(score, match_id) AS score, arg_max(eligible, match_id) AS eligible FROM matches GROUP BY job_id)
   SELECT j.id AS job_id, s.source_key, l.score FROM jobs j JOIN sources s ON s.id = j.source_id LEFT JOIN last l ON l.job_id = j.id WHERE {{where}} ORDER BY coalesce(l.score, -1) DESC, j.discovered_at DESC NULLS LAST, j.id LIMIT {{limit}} OFFSET {{offset}}"""
+_M = f"WITH {MATCHES}"
 ORACLES = {name: oracle(sql) for name, sql in SQL.items()} | {
+    "latest_match_ts": _M + " SELECT job_id, match_id, score FROM matches m WHERE scored_at = (SELECT max(scored_at) FROM matches x WHERE x.job_id = m.job_id)",
+    "latest_match_id": _M + " SELECT job_id, max(match_id) AS match_id, arg_max(score, match_id) AS score, arg_max(eligible, match_id) AS eligible FROM matches GROUP BY job_id",
+    "match_history": _M + """, h AS (SELECT job_id, list({'at': scored_at, 'id': match_id, 'score': score} ORDER BY scored_at, match_id) AS l FROM matches GROUP BY job_id)
+      SELECT job_id, l[i].id AS match_id, l[i].score AS score, len(l) - i + 1 AS place, CASE WHEN i > 1 THEN l[i].score - l[i - 1].score END AS change FROM h, generate_series(1, 100000) g(i) WHERE i <= len(l)""",
+    "unscored_jobs": _M + " SELECT id AS job_id FROM jobs WHERE duplicate_of_job_id IS NULL EXCEPT SELECT job_id FROM matches WHERE profile_version = 1",
+    "backlog": _M + " SELECT count(*) AS backlog FROM (SELECT id FROM jobs WHERE status = 'active' AND duplicate_of_job_id IS NULL EXCEPT SELECT job_id FROM matches)",
+    "job_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE duplicate_of_job_id IS NULL) AS canonical, count(*) FILTER (WHERE duplicate_of_job_id IS NOT NULL) AS duplicates FROM jobs WHERE discovered_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00'",
+    "skill_gaps": """
+      WITH pairs AS (SELECT DISTINCT k.skill_id, k.job_id FROM job_skills k SEMI JOIN (SELECT id FROM jobs WHERE duplicate_of_job_id IS NULL) j ON j.id = k.job_id WHERE starts_with(k.mention_type, 'explicit')),
+      top AS (SELECT s.id, s.name, count(*) AS job_count FROM pairs p JOIN skills s ON s.id = p.skill_id GROUP BY ALL ORDER BY job_count DESC, name, id LIMIT 200)
+      SELECT name, job_count FROM top ANTI JOIN (SELECT id FROM skills WHERE id % 7 = 0) o USING (id) ORDER BY job_count DESC, name LIMIT 25""",
+    "skill_search": """
+      SELECT slug, name, (SELECT count(*) FROM (SELECT DISTINCT job_id FROM job_skills k WHERE k.skill_id = s.id AND job_id IS NOT NULL)) AS job_count FROM skills s
+      WHERE contains(name, 'a') OR category = 'practice' ORDER BY job_count DESC, name, slug LIMIT 25""",
+    "stale_expiry": f"SELECT id AS job_id, CASE WHEN status = 'active' AND last_seen_at < TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 45 DAY THEN 'expired' ELSE status END AS new_status FROM jobs",
+    "pay_idempotent": """
+      SELECT min(id) AS id, count(*) AS copies FROM (SELECT id, concat_ws('~', coalesce(job_id::VARCHAR, '?'), coalesce(company_id::VARCHAR, '?'), coalesce(observation_type, '?null'), coalesce(min_amount::VARCHAR, '?'), coalesce(max_amount::VARCHAR, '?'),
+        coalesce(currency, '?null'), coalesce(period, '?null'), coalesce(source, '?null')) AS same FROM compensation_observations) x GROUP BY same""",
+    "version_history": """
+      WITH v AS (SELECT id, source_id, external_id, coalesce(title, '') AS t FROM jobs WHERE external_id IS NOT NULL)
+      SELECT id, source_id, external_id, (SELECT count(*) FROM v b WHERE b.source_id IS NOT DISTINCT FROM a.source_id AND b.external_id = a.external_id AND b.id <= a.id) AS version,
+        t <> coalesce((SELECT arg_max(b.t, b.id) FROM v b WHERE b.source_id IS NOT DISTINCT FROM a.source_id AND b.external_id = a.external_id AND b.id < a.id), '') AS changed FROM v a""",
+    "search_text": "SELECT id AS job_id, title FROM jobs WHERE len([x for x in [title, company_name, location, description] if x ILIKE '%engineer%']) > 0",
+    "source_stats": _M + """, j AS (SELECT * FROM jobs WHERE discovered_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00'), l AS (SELECT job_id, arg_max(eligible, match_id) AS eligible FROM matches GROUP BY job_id)
+      SELECT s.source_key, (SELECT count(*) FROM j WHERE source_id = s.id) AS discovered, (SELECT count(*) FROM j WHERE source_id = s.id AND duplicate_of_job_id IS NULL) AS canonical,
+        (SELECT count(*) FROM j WHERE source_id = s.id AND duplicate_of_job_id IS NOT NULL) AS duplicates, (SELECT count(*) FROM j WHERE source_id = s.id AND status = 'active') AS active, (SELECT count(*) FROM j WHERE source_id = s.id AND status = 'expired') AS expired,
+        (SELECT count(*) FROM j JOIN l ON l.job_id = j.id WHERE source_id = s.id) AS scored, (SELECT count(*) FROM j JOIN l ON l.job_id = j.id WHERE source_id = s.id AND l.eligible) AS eligible,
+        (SELECT count(*) FROM j WHERE source_id = s.id AND id IN (SELECT job_id FROM compensation_observations WHERE observation_type = 'explicit')) AS with_pay FROM sources s""",
     "market_overview": """
       SELECT 'work_mode' AS section, coalesce(work_mode, 'unknown') AS k, count(*) AS n FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2
       UNION ALL SELECT 'seniority', coalesce(seniority, 'unknown'), count(*) FROM jobs WHERE duplicate_of_job_id IS NULL GROUP BY 2

@@ -21,13 +21,14 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     """All that is available now, to a table in the shared folder."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/vacantia-stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("parquet" if mode == "append" else "memory").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
-        writer.option("path", f"{base}/out").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    name = f"stream_{uuid.uuid4().hex}"
-    writer.queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer = writer.format("parquet").option("path", f"{base}/out")
+    else:  # each batch gives the whole result, which replaces the one before
+        spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def daily_events(spark: SparkSession, d: str, late: str = "2 days") -> DataFrame:
