@@ -173,6 +173,10 @@ def test_ingest_equals_the_sequential_rule(spark):
         df = spark.createDataFrame(records, "seq long, source_id long, external_id string, canonical_url string, content_hash string")
         got = {r["seq"]: (r["root"], r["outcome"]) for r in ingest.outcomes(ingest.identified(df)).collect()}
         assert got == sequential_ingest(records)
+    # the same numbers in another source are other records
+    both = df.unionByName(df.withColumn("source_id", F.col("source_id") + 7))
+    again = ingest.outcomes(ingest.identified(both)).groupBy("seq", "root", "outcome").count().collect()
+    assert {r["seq"]: (r["root"], r["outcome"]) for r in again} == sequential_ingest(records) and {r["count"] for r in again} == {2}
 
 
 def test_signals(spark):

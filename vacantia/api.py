@@ -33,8 +33,8 @@ class Engine:
     def skill_cooccurrence(self, *, skill_id: int, limit: int = 15) -> DataFrame:
         return demand.cooccurrence(self._t("jobs"), self._t("job_skills"), self._t("skills"), skill_id, limit)
 
-    def pay_statistics(self, *, currency: str, by: tuple[str, ...] = (), min_sample: int = 3) -> DataFrame:
-        return pay.statistics(self._t("compensation_observations"), self._t("jobs"), list(by), currency, min_sample)
+    def pay_statistics(self, *, currency: str, by: tuple[str, ...] = (), min_sample: int = 3, wanted: pay.PayFilter = pay.PayFilter()) -> DataFrame:
+        return pay.statistics(self._t("compensation_observations"), self._t("jobs"), list(by), currency, min_sample, wanted, self._t("sources"))
 
     def search_jobs(self, *, wanted: search.JobSearch = search.JobSearch()) -> DataFrame:
         return wanted.run(self._t("jobs"), self._t("sources"), relational.matches(self.spark, self.tables))

@@ -1,6 +1,6 @@
 """Raw postings to normalised ones, and their upsert into a keyed snapshot with versions, in one pass over a batch.
 
-A batch is taken in order of arrival (`seq`). Within a source a posting is known by its external
+A batch is taken in order of arrival (`seq`, unique within a source). Within a source a posting is known by its external
 id; a record without one, or one that meets a posting stored without one, is known by its URL.
 """
 
@@ -57,14 +57,14 @@ def identified(records: DataFrame) -> DataFrame:
     own = own.withColumn("root", F.when(F.col("created") <= F.col("seq"), F.col("created")).otherwise(F.col("url_first"))).drop("created")
     bare = first.filter("external_id is null")
     # who owns the first record at the URL owns the bare ones that follow
-    roots = own.filter("seq = url_first").select(F.col("url_first"), F.col("root").alias("owner"))
-    bare = bare.join(roots, "url_first", "left").withColumn("root", F.coalesce("owner", "url_first")).drop("owner")
+    roots = own.filter("seq = url_first").select("source_id", "url_first", F.col("root").alias("owner"))
+    bare = bare.join(roots, ["source_id", "url_first"], "left").withColumn("root", F.coalesce("owner", "url_first")).drop("owner")
     return own.unionByName(bare).drop("url_first", "url_open")
 
 
 def outcomes(records: DataFrame) -> DataFrame:
     """Identified records with `outcome`: created, unchanged (same content as before) or updated, and the version it makes."""
-    order = Window.partitionBy("root").orderBy("seq")
+    order = Window.partitionBy("source_id", "root").orderBy("seq")
     before = F.lag("content_hash").over(order)
     out = records.withColumn("outcome", F.when(F.col("seq") == F.col("root"), "created").when(before == F.col("content_hash"), "unchanged").otherwise("updated"))
     return out.withColumn("version", F.when(F.col("outcome") != "unchanged", F.sum((F.col("outcome") != "unchanged").cast("int")).over(order)))
@@ -75,11 +75,11 @@ def snapshot(records: DataFrame) -> DataFrame:
     changed = F.col("outcome") != "unchanged"
     last = [F.max_by(c, F.when(changed, F.col("seq"))).alias(c) for c in OVERWRITTEN]
     kept = [F.max_by(c, F.when(changed & F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in KEPT]
-    return records.groupBy("root").agg(F.min_by("source_id", "seq").alias("source_id"), F.min_by("external_id", "seq").alias("external_id"), *last, *kept, F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("version").alias("versions"))
+    return records.groupBy("source_id", "root").agg(F.min_by("external_id", "seq").alias("external_id"), *last, *kept, F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("version").alias("versions"))
 
 
 def pay_of(records: DataFrame, raw_pay: DataFrame) -> DataFrame:
-    """Explicit pay of records that make no duplicate: (seq, low, high, currency, period) with a bound and a currency, by posting, each once."""
+    """Explicit pay of records, (source_id, seq, low, high, currency, period), with a bound and a currency: by posting, each once."""
     priced = raw_pay.filter("coalesce(low, high) is not null and currency is not null and currency <> ''").withColumn("period", T.pay_period(F.col("period")))
-    rows = priced.join(records.select("seq", "root"), "seq")
-    return rows.groupBy("root", "low", "high", "currency", "period").agg(F.min("seq").alias("seq"))
+    rows = priced.join(records.select("source_id", "seq", "root"), ["source_id", "seq"])
+    return rows.groupBy("source_id", "root", "low", "high", "currency", "period").agg(F.min("seq").alias("seq"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.operators import ingest
+from vacantia.plans.texts import _company, _norm, _title
 from vacantia.sources import feeds
 from vacantia.session import table
 
@@ -75,3 +76,13 @@ ORACLES = {
       UNION ALL SELECT 'workingnomads', row_id, coalesce(nullif(regexp_extract(url, '/([0-9]+)/?$', 1), ''), url), title, company_name, nullif(location, ''), NULL, nullif(location, ''), 'remote', NULL, NULL, NULL, NULL, NULL, NULL
       FROM workingnomads_jobs WHERE url <> '' AND title <> ''""",
 }
+#: Content of a captured record, by the normal forms of what its hash is made of and what the inferred enums come from.
+_CONTENT = f"concat_ws('~', {_title('title')}, {_norm('title')}, coalesce({_company('company_name')}, '?'), {_norm('location')}, coalesce(work_mode, '?'), coalesce(employment_type, '?'))"
+_TOLD = f"""WITH f AS ({ORACLES["feed_postings"]}),
+  c AS (SELECT CASE source_key WHEN 'himalayas' THEN 0 WHEN 'remotive' THEN 1 WHEN 'workday' THEN 2 ELSE 3 END AS source_id, row_id AS seq, external_id, title, {_CONTENT} AS content, f.* FROM f),
+  o AS (SELECT *, min(seq) OVER w AS root, lag(content) OVER (PARTITION BY source_id, external_id ORDER BY seq) AS before FROM c WINDOW w AS (PARTITION BY source_id, external_id)),
+  told AS (SELECT *, CASE WHEN seq = root THEN 'created' WHEN before = content THEN 'unchanged' ELSE 'updated' END AS outcome FROM o)"""
+ORACLES |= {
+    "ingest_outcomes": _TOLD + " SELECT source_id, seq, root, outcome FROM told",
+    "ingest_versions": _TOLD + r" SELECT source_id, root, row_number() OVER (PARTITION BY source_id, root ORDER BY seq) AS version, seq, trim(regexp_replace(title, '[\s\x{00a0}]+', ' ', 'g')) AS title FROM told WHERE outcome <> 'unchanged'",
+}

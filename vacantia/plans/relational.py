@@ -201,8 +201,16 @@ def run_asof_backfill(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("job_id"), F.col("window_id").alias("run_id"), F.concat(F.lit("VAC-"), F.coalesce("window_id", F.lit(0)).cast("string"), F.lit("."), F.col("id").cast("string")).alias("code"))
 
 
+PAID = pay.PayFilter(start="2024-01-01 00:00:00", end="2026-01-01 00:00:00", role="e", location="a", work_mode="remote")
+
+
+def pay_stats_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Through the posting to its source."""
+    return pay.statistics(table(spark, d, "compensation_observations"), table(spark, d, "jobs"), ["source_key"], "USD", 1, PAID, table(spark, d, "sources"))
+
+
 QUERIES = {name: plan(sql) for name, sql in (SQL | OWN).items()} | {
-    "search_jobs": search_jobs, "search_jobs_narrow": search_jobs_narrow, "search_jobs_unscored": search_jobs_unscored, "run_asof_backfill": run_asof_backfill,
+    "search_jobs": search_jobs, "search_jobs_narrow": search_jobs_narrow, "search_jobs_unscored": search_jobs_unscored, "run_asof_backfill": run_asof_backfill, "pay_stats_filtered": pay_stats_filtered,
     "skill_demand": skill_demand, "skill_demand_filtered": skill_demand_filtered, "skill_growth": skill_growth,
     "skill_cooccurrence": skill_cooccurrence, "pay_stats": pay_stats, "pay_stats_by_seniority": pay_stats_by_seniority,
 }
@@ -305,6 +313,9 @@ ORACLES = {name: oracle(sql) for name, sql in SQL.items()} | {
     "skill_cooccurrence": f"""
       SELECT s.slug, count(DISTINCT a.job_id) AS jobs FROM job_skills a JOIN job_skills b ON b.job_id = a.job_id AND b.skill_id <> a.skill_id JOIN jobs j ON j.id = a.job_id JOIN skills s ON s.id = b.skill_id
       WHERE a.skill_id = 3 AND j.{CANONICAL} GROUP BY s.slug ORDER BY jobs DESC, s.slug LIMIT 15""",
+    "pay_stats_filtered": _PAY.replace(">= 3", ">= 1").replace("LEFT JOIN jobs j ON j.id = c.job_id", "LEFT JOIN jobs j ON j.id = c.job_id LEFT JOIN sources s ON s.id = j.source_id").replace(
+        "WHERE c.currency", "WHERE c.observed_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00' AND c.observed_at < TIMESTAMPTZ '2026-01-01 00:00:00+00' AND j.title ILIKE '%e%' AND (j.location ILIKE '%a%' OR j.country ILIKE '%a%') AND j.work_mode = 'remote' AND c.currency"
+    ).format(col="s.source_key,", out="source_key,", grp=", source_key", cur="USD"),
     "pay_stats": _PAY.format(col="", out="", grp="", cur="USD"),
     "pay_stats_by_seniority": _PAY.format(col="coalesce(c.seniority, j.seniority) AS seniority,", out="seniority,", grp=", seniority", cur="EUR"),
 }

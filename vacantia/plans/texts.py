@@ -121,12 +121,6 @@ def normalized_jobs(spark, d):
     return ingest.normalised(raw).select("id", "title", "normal_title", "normal_company", "canonical_url", "work_mode", "seniority", "employment_type", "dedup_key")
 
 
-def content_versions(spark, d):
-    """How often each normalised content occurs: rows by content hash, those that occur twice or more, by their smallest id."""
-    normal = ingest.normalised(table(spark, d, "jobs"))
-    return normal.groupBy("content_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first_id", "n")
-
-
 def skill_categories(spark, d):
     return table(spark, d, "skills").select("id", T.skill_category(F.col("name")).alias("category"))
 
@@ -141,7 +135,7 @@ def country_names(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (url_variants, job_signals, duty_lines, job_analysis, normalized_jobs, content_versions, skill_categories, company_domains, country_names, text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
+    for f in (url_variants, job_signals, duty_lines, job_analysis, normalized_jobs, skill_categories, company_domains, country_names, text_normalize, company_normalize, title_normalize, slug, url_canonical, html_to_text, infer_enums, dedup_groups, duplicate_links, section_counts, skill_extract, years_team, languages_required, salary_parse)
 }
 
 
