@@ -57,3 +57,26 @@ def test_units(spark):
 
 def test_units_empty(spark):
     assert units.convert(spark.createDataFrame([], PAY), spark.createDataFrame([], "currency string, usd_per_unit double")).count() == 0
+
+
+def test_accuracy_where_none_is_confident(spark):
+    # as many of either period at the same amount: no prediction is above 0.9
+    rows = [(i, 50.0, 60.0, "USD", ("hour", "year")[i // 2 % 2], "s", None, None, "explicit", 1) for i in range(200)]
+    got = {r["unit"]: r for r in units.held_out(spark.createDataFrame(rows, PAY)).collect()}
+    assert got["period_code"]["rows"] > 20 and got["period_code"]["confident"] == 0.0 and got["period_code"]["confident_right"] is None
+    assert got["currency_code"]["rows"] > 20 and got["currency_code"]["confident_right"] is None  # one class only, so no forest
+
+
+def test_accuracy_of_few_rows(spark):
+    for n in (0, 1, 2, 5):
+        rows = [(i, 50.0, None, ("USD", "EUR")[i % 2], ("hour", "year")[i % 2], "s", None, None, "explicit", 1) for i in range(n)]
+        got = {r["unit"]: r for r in units.held_out(spark.createDataFrame(rows, PAY)).collect()}
+        assert set(got) == {"period_code", "currency_code"} and all(0 <= r["rows"] <= n and r["confident_right"] in (None, 1.0) for r in got.values())
+
+
+def test_forest_of_held_rows_only(spark):
+    ids = [r["id"] for r in spark.range(200).filter("pmod(xxhash64(id), 5) = 0").limit(2).collect()]
+    rows = [(i, 50.0, None, "USD", p, "s", None, None, "explicit", 1) for i, p in zip(ids, ("hour", "year"))] + [(1000, 50.0, None, "USD", None, "s", None, None, "explicit", 1)]
+    base = units.stated(spark.createDataFrame(rows, PAY))
+    got = units.Forest(base, "period_code", "currency_code").apply(base.filter("period_code is null")).collect()
+    assert [(r["predicted_period_code"], r["probability_period_code"]) for r in got] == [(None, 0.0)]
